@@ -6,6 +6,7 @@ import public_tokenizers
 
 from rillflow.llm import decontaminate, topk
 from rillflow.llm.common import table
+from rillflow.llm.lm import lm_scores
 from rillflow.llm.packing import pack
 from rillflow.llm.sharding import balanced_shards
 from rillflow.llm.token_counts import token_counts
@@ -25,6 +26,10 @@ def op4_sharding(spark, d):
     return balanced_shards(table(spark, d, "documents"))
 
 
+def op5_lm_scores(spark, d):
+    return lm_scores(table(spark, d, "documents"))
+
+
 def op6_url_filter(spark, d):
     return url_filter(table(spark, d, "pages"))
 
@@ -41,5 +46,5 @@ def op9_packing(spark, d):
     return pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_top_k, op4_sharding, op6_url_filter, op7_toxicity, op8_decontamination, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_top_k, op4_sharding, op5_lm_scores, op6_url_filter, op7_toxicity, op8_decontamination, op9_packing)}
 ORACLE_SQL = {"op3_top_k": topk.SQL, "op8_decontamination": decontaminate.SQL}
