@@ -7,6 +7,7 @@ import public_tokenizers
 from rillflow.llm import decontaminate, topk
 from rillflow.llm.common import table
 from rillflow.llm.lm import lm_scores
+from rillflow.llm.near_dup import near_duplicates
 from rillflow.llm.packing import pack
 from rillflow.llm.sharding import balanced_shards
 from rillflow.llm.token_counts import token_counts
@@ -14,6 +15,10 @@ from rillflow.llm.toxicity import toxicity
 from rillflow.llm.url_filter import url_filter
 
 
+def op1_near_duplicates(spark, d):
+    return near_duplicates(table(spark, d, "documents"))
+
+
 def op2_token_counts(spark, d):
     return token_counts(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,5 +51,5 @@ def op9_packing(spark, d):
     return pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_top_k, op4_sharding, op5_lm_scores, op6_url_filter, op7_toxicity, op8_decontamination, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_top_k, op4_sharding, op5_lm_scores, op6_url_filter, op7_toxicity, op8_decontamination, op9_packing)}
 ORACLE_SQL = {"op3_top_k": topk.SQL, "op8_decontamination": decontaminate.SQL}
