@@ -10,6 +10,7 @@ from rillflow.llm.lm import lm_scores
 from rillflow.llm.near_dup import near_duplicates
 from rillflow.llm.packing import pack
 from rillflow.llm.sharding import balanced_shards
+from rillflow.llm.suffix_dedup import suffix_digests
 from rillflow.llm.token_counts import token_counts
 from rillflow.llm.toxicity import toxicity
 from rillflow.llm.url_filter import url_filter
@@ -51,5 +52,9 @@ def op9_packing(spark, d):
     return pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_top_k, op4_sharding, op5_lm_scores, op6_url_filter, op7_toxicity, op8_decontamination, op9_packing)}
+def op10_suffix_dedup(spark, d):
+    return suffix_digests(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_top_k, op4_sharding, op5_lm_scores, op6_url_filter, op7_toxicity, op8_decontamination, op9_packing, op10_suffix_dedup)}
 ORACLE_SQL = {"op3_top_k": topk.SQL, "op8_decontamination": decontaminate.SQL}
