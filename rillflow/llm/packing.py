@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut
 
-CACHE_SIZE = 800_000
+CACHE_SIZE = 500_000
 _workers: dict = {}
 
 Bins = list[tuple[int, tuple[tuple[int, int], ...]]]  # (bins, ((length, how many of it), ...))
@@ -164,22 +164,46 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.bound, self.encode = bound, Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.bound, self.encode, self.merge = bound, tokenizer.encode, tokenizer.model.tokenize
+        self.old: dict[str, bytes] = {}  # the generation before: what is still in use moves over
+        self.whole: dict[str, bytes] = {}
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(run)
+        if ids is None:
+            ids = np.array([x.id for x in self.merge(run.encode().decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
         self[run] = ids
         return ids
 
+    def odd(self, chunk: str) -> bytes:
+        """Ids of a chunk as the tokenizer itself gives them."""
+        ids = self.whole.get(chunk)
+        if ids is None:
+            if len(self.whole) >= self.bound // 4:
+                self.whole.clear()
+            ids = self.whole[chunk] = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
+
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _PLAIN(text) and "<|" not in text:
             return b"".join(map(self.__getitem__, _RUNS(text.lower())))
-        return b"".join(b"".join(map(self.__getitem__, _RUNS(w.lower()))) if _PLAIN(w) and "<|" not in w else self[w] for w in _CHUNKS(text))
+        return b"".join(b"".join(map(self.__getitem__, _RUNS(w.lower()))) if _PLAIN(w) and "<|" not in w else self.odd(w) for w in _CHUNKS(text))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others follow from code 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
+_BYTE_LETTERS = _byte_letters()
 
 #: Printable ASCII, ASCII white space and the letters of Latin-1: lower-casing and composing are the same everywhere.
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]+").fullmatch
