@@ -85,15 +85,17 @@ def _window_least(h: np.ndarray, w: int) -> np.ndarray:
     return least
 
 
-def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start, windows and name of every stretch."""
+def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, windows and name of every stretch; and whether its name's gram stands in it more than once."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     end = np.cumsum(size)
     empty = np.zeros(0, np.int64)
     if not len(size) or end[-1] < length:
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, np.zeros(0, bool)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    name = _window_least(_gram_hashes(data, gram)[: len(data) - gram + 1], length - gram + 1)
+    width = length - gram + 1
+    hashes = _gram_hashes(data, gram)[: len(data) - gram + 1]
+    name = _window_least(hashes, width)
     row = np.repeat(np.arange(len(texts)), size)[: len(name)]
     at = np.arange(len(name))
     fits = at + length <= end[row]
@@ -103,7 +105,17 @@ def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, n
     # A stretch ends where the next begins or where its text has no further window.
     last = np.minimum(np.append(first[1:], len(name)), end[row[first]] - length + 1)
     begin = end - size
-    return row[first], first - begin[row[first]], last - first, name[first].view(np.int64)
+    # A gram names a window around it if its hash is as large as the largest name of those windows.
+    pad = np.concatenate([np.zeros(width - 1, np.uint64), name, np.zeros(width - 1, np.uint64)])
+    naming = np.flatnonzero(~_window_least(~pad, width) == hashes)
+    x, y = naming[:-1], naming[1:]
+    of = np.repeat(np.arange(len(texts)), size)
+    twice = np.flatnonzero((hashes[x] == hashes[y]) & (of[x] == of[y]) & (y - x <= width))
+    at = np.maximum(y[twice] - width + 1, begin[of[y[twice]]])
+    inner = np.zeros(len(first), bool)
+    if len(at):
+        inner[np.searchsorted(first, at, side="right") - 1] = True
+    return row[first], first - begin[row[first]], last - first, name[first].view(np.int64), inner
 
 
 # --- two-stage suffix sorting ---------------------------------------------
@@ -247,12 +259,12 @@ def _with_order(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
 
 
 def _repeated_names(docs: DataFrame, length: int) -> DataFrame:
-    """Stretches (ord, start, windows, name) whose name occurs more than once."""
+    """Stretches (ord, start, windows, name) whose name occurs more than once, in another stretch or within (windows < 0 until then)."""
 
     def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, NAME_BYTES, "text"):
-            row, start, n, names = stretches([t or b"" for t in byte_rows(b, "text")], length, GRAM)
-            yield pa.RecordBatch.from_arrays([b.column("ord").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(names)], ["ord", "start", "windows", "name"])
+            row, start, n, names, inner = stretches([t or b"" for t in byte_rows(b, "text")], length, GRAM)
+            yield pa.RecordBatch.from_arrays([b.column("ord").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(np.where(inner, -n, n).astype(np.int32)), pa.array(names)], ["ord", "start", "windows", "name"])
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by name: those with a neighbour of the same name; the last row waits for the next batch."""
@@ -269,6 +281,7 @@ def _repeated_names(docs: DataFrame, length: int) -> DataFrame:
             often[1:] |= same
             often[:-1] |= same
             often[0] |= first
+            often |= b.column("windows").to_numpy() < 0
             out = np.flatnonzero(often[:-1])
             yield b.take(pa.array(out))
             held, repeats = b.slice(len(names) - 1, 1), bool(often[-1])
@@ -276,7 +289,8 @@ def _repeated_names(docs: DataFrame, length: int) -> DataFrame:
             yield held
 
     rows = docs.select("ord", "text").mapInArrow(name, "ord long, start int, windows int, name long")
-    return cut(rows.repartition("name").sortWithinPartitions("name").mapInArrow(keep, "ord long, start int, windows int, name long"))
+    kept = rows.repartition("name").sortWithinPartitions("name").mapInArrow(keep, "ord long, start int, windows int, name long")
+    return cut(kept.withColumn("windows", F.abs("windows")))
 
 
 PIECE = "name long, piece binary, windows int, ord long, start int"
@@ -325,7 +339,7 @@ def _finer(pieces: DataFrame, length: int, gram: int) -> DataFrame:
     def again(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = b.column("piece").to_pylist()
-            row, start, n, name = stretches(texts, length, gram)
+            row, start, n, name, _ = stretches(texts, length, gram)
             take = pa.array(row)
             cuts = pa.array([texts[r][s : s + w + length - 1] for r, s, w in zip(row, start, n, strict=True)], pa.binary())
             place = b.column("start").take(take).to_numpy() + start
