@@ -100,6 +100,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WORD_SIZE, id_c
     return rows.select(F.col("doc").alias(id_col), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WORD_SIZE, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs``, all columns, without a word inside an occurrence of an item's window."""
+    uid = F.xxhash64(F.col(id_col), "text")
+    keyed = docs.select(F.col(id_col).alias("doc"), uid.alias("uid"), words("text").alias("w"))
+    bad = cut(occurrences(keyed, cut(windows(items, size, item_col)), size).select("doc", "uid").distinct())
+    few = bad.count() <= BROADCAST
+    bad = F.broadcast(bad) if few else bad
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("doc")) & (uid == F.col("uid")), "left_anti").select(*docs.columns)
+
+
 SQL = r"""
 with d as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),

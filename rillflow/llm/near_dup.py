@@ -255,3 +255,16 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     done = members.select("id", "n", "key").join(final, (F.col("key") == F.col("key_")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "id")
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group of near-duplicates (its least id)."""
+    n = docs.agg(F.count("*").alias("rows"), F.count(id_col).alias("ids"), F.countDistinct(id_col).alias("distinct")).first()
+    if n.rows == n.ids == n.distinct:
+        key, rows = id_col, docs
+    else:  # repeated or null ids: rows are told apart by a number of their own, in the order of ids
+        key = "_row"
+        rows = cut(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(key, F.monotonically_increasing_id()))
+    gone = cut(near_duplicates(rows, k, percent, key).filter("not kept").select(key))
+    few = gone.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*docs.columns)

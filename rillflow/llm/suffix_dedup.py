@@ -247,9 +247,9 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, ord_: np.ndarray,
 # --- Spark ----------------------------------------------------------------
 
 
-def _with_order(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+def _with_order(docs: DataFrame, id_col: str, others: list[str]) -> tuple[DataFrame, str]:
     """Adds ``ord``, a long that orders the rows: the id itself where ids are whole numbers, present and distinct."""
-    docs = docs.select(F.col(id_col).alias("id"), "text")
+    docs = docs.select(F.col(id_col).alias("id"), "text", *(F.col(c).alias(f"_{c}") for c in others))
     if isinstance(docs.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         n = docs.agg(F.count("*").alias("rows"), F.count("id").alias("ids"), F.countDistinct("id").alias("distinct")).first()
         if n.rows == n.ids == n.distinct:
@@ -398,22 +398,23 @@ def _covered(spans: list[dict] | None, size: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _each(docs: DataFrame, length: int, id_col: str, schema: str, make) -> DataFrame:
-    """``make(text, mask)`` for every row, beside its id."""
-    docs, kind = _with_order(docs, id_col)
+def _each(docs: DataFrame, length: int, id_col: str, schema: str, make, others: list[str] = ()) -> DataFrame:
+    """``make(text, mask)`` for every row, beside its id and ``others``."""
+    types = {c: docs.schema[c].dataType.simpleString() for c in others}
+    docs, kind = _with_order(docs, id_col, list(others))
     spans, small = repeated_spans(docs, length)
 
-    names = [id_col, *(x.split()[0] for x in schema.split(", "))]
+    names = [id_col, *(x.split()[0] for x in schema.split(", ")), *others]
     kinds = [{"bigint": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, BATCH_BYTES, "text"):
             out = [make(t, _covered(s, len(t or b""), length) if s else None) for t, s in zip(byte_rows(b, "text"), b.column("spans").to_pylist(), strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), *(b.column(f"_{c}") for c in others)], names)
 
-    joined = docs.join(F.broadcast(spans) if small else spans, "ord", "left").select("id", "text", "spans")
-    return joined.mapInArrow(apply, f"`{id_col}` {kind}, {schema}")
+    joined = docs.join(F.broadcast(spans) if small else spans, "ord", "left").select("id", "text", "spans", *(f"_{c}" for c in others))
+    return joined.mapInArrow(apply, ", ".join([f"`{id_col}` {kind}", schema, *(f"`{c}` {t}" for c, t in types.items())]))
 
 
 def suffix_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id") -> DataFrame:
@@ -430,11 +431,11 @@ def suffix_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, text without its repeated bytes (null stays null; bytes of a cut character go too), n_removed."""
+    """Per row: id, text without its repeated bytes (null stays null; bytes of a cut character go too), n_removed, other columns."""
 
     def make(text: bytes | None, gone: np.ndarray | None) -> tuple[str | None, int]:
         if text is None or gone is None:
             return None if text is None else text.decode(), 0
         return np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"), int(gone.sum())
 
-    return _each(docs, length, id_col, "text string, n_removed bigint", make)
+    return _each(docs, length, id_col, "text string, n_removed bigint", make, [c for c in docs.columns if c not in (id_col, "text", "n_removed")])

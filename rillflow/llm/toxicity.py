@@ -27,7 +27,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut
@@ -207,16 +207,23 @@ def learn(labelled: DataFrame, positives: int, negatives: int) -> dict[str, floa
     return lexicon
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.3, folds: int = 4, held_fold: int = 2) -> DataFrame:
-    """Per row: id, held_out, score, predicted."""
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
-    train = labels.filter((fold != held_fold) & F.col("toxic").isNotNull()).select(F.col(id_col), F.col("toxic").cast("int").alias("toxic"))
+def learned_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 4, held_fold: int = 2) -> dict[str, float]:
+    """Insult terms and weights from the labelled rows outside the held-out fold."""
+    train = labels.filter((_fold(id_col, folds) != held_fold) & F.col("toxic").isNotNull()).select(F.col(id_col), F.col("toxic").cast("int").alias("toxic"))
     train = train.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     train = train.orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
-    docs = docs.select(F.col(id_col), "text")
-    labelled = cut(docs.join(F.broadcast(train), id_col).select("text", "toxic"))  # MAX_LABELLED rows at most
+    labelled = cut(docs.select(F.col(id_col), "text").join(F.broadcast(train), id_col).select("text", "toxic"))  # MAX_LABELLED ids at most
     n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    lexicon = docs.sparkSession.sparkContext.broadcast(learn(labelled, n.get(1, 0), n.get(0, 0)))
+    return learn(labelled, n.get(1, 0), n.get(0, 0))
+
+
+def _fold(id_col: str, folds: int) -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.3, folds: int = 4, held_fold: int = 2) -> DataFrame:
+    """Per row: id, held_out, score, predicted."""
+    lexicon = docs.sparkSession.sparkContext.broadcast(learned_lexicon(docs, labels, id_col, folds, held_fold))
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Lexicon(lexicon.value)
@@ -225,4 +232,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", thresho
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], [id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), "text").mapInArrow(apply, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    held = F.coalesce(_fold(id_col, folds) == held_fold, F.lit(False))
+    return docs.select(F.col(id_col), held.alias("held_out"), "text").mapInArrow(apply, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under the threshold."""
+    lexicon = docs.sparkSession.sparkContext.broadcast(learned_lexicon(docs, labels, id_col))
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Lexicon(lexicon.value)
+        for b in it:
+            yield b.filter(pa.array([words.score(t) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
