@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -43,6 +44,12 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that ended in a :func:`cut`, instead of at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def byte_rows(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return batch.column(column).cast(pa.binary()).to_pylist()

@@ -3,7 +3,8 @@
 Every byte that lies in a ``length``-byte string which also starts earlier
 (smaller id, or same text and earlier start) goes.
 
-Getting equal strings together: each window of ``length`` bytes is named by
+Whole copies go first: a text that equals an earlier one (128-bit digest) is
+covered altogether.  Getting other equal strings together: each window of ``length`` bytes is named by
 the least hash of its ``GRAM``-byte grams, so equal windows have equal names.
 Neighbouring windows mostly share their name; a maximal run of such windows is
 a stretch, kept as one piece of text.  Names that occur once are dropped after
@@ -36,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import batches_of, byte_rows, cut, mix64
+from rillflow.llm.common import batches_of, byte_rows, cut, mix64, release
 
 LENGTH = 100
 GRAM = 32
 STRETCHES = 20_000
 BATCH_BYTES = 3_000_000
 NAME_BYTES = 250_000  # small enough for the arrays to stay in cache
-BROADCAST_STRETCHES = 1_500_000
+BROADCAST_COPIES = 2_000_000
 
 
 # --- names ----------------------------------------------------------------
@@ -258,7 +259,7 @@ def _with_order(docs: DataFrame, id_col: str, others: list[str]) -> tuple[DataFr
     return cut(ordered), docs.schema["id"].dataType.simpleString()
 
 
-def _repeated_names(docs: DataFrame, length: int) -> DataFrame:
+def _repeated_names(docs: DataFrame, copies: DataFrame, length: int) -> DataFrame:
     """Stretches (ord, start, windows, name) whose name occurs more than once, in another stretch or within (windows < 0 until then)."""
 
     def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +290,8 @@ def _repeated_names(docs: DataFrame, length: int) -> DataFrame:
             yield held
 
     rows = docs.select("ord", "text").mapInArrow(name, "ord long, start int, windows int, name long")
+    few = copies.count() <= BROADCAST_COPIES
+    rows = rows.join(F.broadcast(copies) if few else copies, "ord", "left_anti")
     kept = rows.repartition("name").sortWithinPartitions("name").mapInArrow(keep, "ord long, start int, windows int, name long")
     return cut(kept.withColumn("windows", F.abs("windows")))
 
@@ -348,15 +351,24 @@ def _finer(pieces: DataFrame, length: int, gram: int) -> DataFrame:
     return pieces.mapInArrow(again, PIECE)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, bool]:
+def _copies(docs: DataFrame, length: int) -> DataFrame:
+    """(ord) of every text of ``length`` bytes or more that equals an earlier one."""
+    keys = docs.filter(F.octet_length("text") >= length).select("ord", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    firsts = keys.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return cut(keys.join(firsts, "key").filter("ord <> first").select("ord"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per ord with something to remove: spans, each a run of repeated windows or the offsets of some (``marks``).
 
-    ``docs`` has ord and text.  Also says whether the result is small enough to be broadcast.
+    ``docs`` has ord and text.  A text that equals an earlier one has a run of
+    -1 windows: all of them.
     """
-    found = _repeated_names(docs, length)
-    small = found.count() <= BROADCAST_STRETCHES
+    copies = _copies(docs, length)
+    found = _repeated_names(docs, copies, length)
+    release(docs.sparkSession)
     lists = found.groupBy("ord").agg(F.collect_list(F.struct("start", "windows", "name")).alias("all"))  # as many as a text has bytes, at most
-    joined = docs.select("ord", "text").join(F.broadcast(lists) if small else lists, "ord")
+    joined = docs.select("ord", "text").join(lists, "ord")
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, BATCH_BYTES, "text"):
@@ -367,7 +379,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, bo
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["name", "piece", "windows", "ord", "start"])
 
     level = cut(_first_places(joined.select("ord", "text", "all").mapInArrow(fetch, PIECE)))
-    places, parts = found.select("ord", "start", "windows"), None
+    release(docs.sparkSession)
+    places, parts = found.select("ord", "start", "windows"), copies.select("ord", F.lit(0).alias("start"), F.lit(-1).alias("windows"), F.lit(None).cast("binary").alias("marks"))
     for gram in (2 * GRAM, length, None):
         # Places that are not their piece's first are repeated whole; first places get their marks.
         firsts = level.select("ord", "start")
@@ -375,13 +388,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, bo
         crowded = cut(level.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") > STRETCHES).select("name"))
         last = gram is None or not crowded.limit(1).count()
         part = part.unionByName(_marked(level if last else level.join(crowded, "name", "left_anti"), length).filter("length(marks) > 0").select("ord", "start", F.lit(0).alias("windows"), "marks"))
-        parts = part if parts is None else parts.unionByName(part)
+        parts = parts.unionByName(part)
         if last:
             break
         finer = cut(_finer(level.join(crowded, "name", "left_semi"), length, gram))
         level, places = cut(_first_places(finer)), finer.select("ord", "start", "windows")
     spans = cut(parts.groupBy("ord").agg(F.collect_list(F.struct("start", "windows", "marks")).alias("spans")))
-    return spans, small
+    release(docs.sparkSession)
+    return spans
 
 
 def _covered(spans: list[dict] | None, size: int, length: int) -> np.ndarray:
@@ -390,7 +404,7 @@ def _covered(spans: list[dict] | None, size: int, length: int) -> np.ndarray:
     for s in spans or ():
         if s["marks"] is None:
             edge[s["start"]] += 1
-            edge[s["start"] + s["windows"] + length - 1] -= 1
+            edge[s["start"] + s["windows"] + length - 1 if s["windows"] >= 0 else size] -= 1
         else:
             at = s["start"] + np.frombuffer(s["marks"], "<u4").astype(np.int64)
             np.add.at(edge, at, 1)
@@ -402,7 +416,7 @@ def _each(docs: DataFrame, length: int, id_col: str, schema: str, make, others:
     """``make(text, mask)`` for every row, beside its id and ``others``."""
     types = {c: docs.schema[c].dataType.simpleString() for c in others}
     docs, kind = _with_order(docs, id_col, list(others))
-    spans, small = repeated_spans(docs, length)
+    spans = repeated_spans(docs, length)
 
     names = [id_col, *(x.split()[0] for x in schema.split(", ")), *others]
     kinds = [{"bigint": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
@@ -413,7 +427,7 @@ def _each(docs: DataFrame, length: int, id_col: str, schema: str, make, others:
             if out:
                 yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), *(b.column(f"_{c}") for c in others)], names)
 
-    joined = docs.join(F.broadcast(spans) if small else spans, "ord", "left").select("id", "text", "spans", *(f"_{c}" for c in others))
+    joined = docs.join(spans, "ord", "left").select("id", "text", "spans", *(f"_{c}" for c in others))
     return joined.mapInArrow(apply, ", ".join([f"`{id_col}` {kind}", schema, *(f"`{c}` {t}" for c, t in types.items())]))
 
 
