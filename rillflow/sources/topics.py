@@ -109,9 +109,15 @@ class TopicManager:
         edge = rows.agg((F.max("offset") + 1 if newest else F.min("offset")).alias("o")).first().o
         return edge or 0
 
-    def append(self, topic: str, rows: DataFrame, start: int | None = None) -> int:
-        """Appends (key, value and, where there, timestamp and headers) with gapless offsets in ``seq`` order; the next offset."""
+    def append(self, topic: str, rows: DataFrame, start: int | None = None, tag: str = "") -> int:
+        """Appends (key, value and, where there, timestamp and headers) with gapless offsets in ``seq`` order; the next offset.
+
+        With a ``tag``, an append of the same tag takes the earlier one's place.
+        """
         config = self.config(topic)
+        earlier = [n for n in self._appends(topic) if tag and n.endswith(f"-{tag}")]
+        if earlier:
+            start = int(earlier[0].removeprefix("from=").split("-")[0])
         start = self.get_offset(topic) if start is None else start
         has = set(rows.columns)
         order = F.col("seq") if "seq" in has else F.monotonically_increasing_id()
@@ -123,12 +129,15 @@ class TopicManager:
             (F.col("headers") if "headers" in has else F.lit(None)).cast("map<string,binary>").alias("headers"),
         )
         out = materialised(out)
-        out.write.mode("overwrite").parquet(f"{self.path(topic)}/from={start:020d}")
+        out.write.mode("overwrite").parquet(f"{self.path(topic)}/from={start:020d}{'-' + tag if tag else ''}")
         return start + out.count()
 
-    def read(self, topic: str) -> DataFrame:
+    def _appends(self, topic: str) -> list[str]:
         fs, p = self._fs(self.path(topic))
-        if not fs.exists(p) or not any(s.isDirectory() for s in fs.listStatus(p)):
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+    def read(self, topic: str) -> DataFrame:
+        if not self._appends(topic):
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(self.path(topic)).select(*COLUMNS)
 
