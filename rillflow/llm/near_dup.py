@@ -11,10 +11,11 @@
    pair is dropped as soon as the posterior probability that its similarity
    reaches the threshold falls under ``MISS`` (uniform prior).
 4. Survivors are verified on their full sets; links give components.
-5. A bucket whose members still lie in several components has its remaining
-   cross-component pairs compared in blocks of bounded size, in the same way.
-   So no pair of different components stays untested, and no bucket's pairs
-   are all emitted.
+5. Classes joined by shared buckets are a cluster.  Where a cluster still holds
+   several components, those outside its largest are compared with all others
+   of the cluster, in blocks of bounded size: signatures first, survivors on
+   their full sets, a pair only while its two components are apart.  So no pair
+   of different components stays untested, and only links come out.
 
 Defined cases: null, empty and blank texts have an empty set and no links; a
 text with fewer words than a shingle is one shingle; rows with a null id are
@@ -40,7 +41,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, HASHES)
 MISS = 1e-6
-BLOCK = 1_024
+BLOCK = 512
 BROADCAST_IDS = 2_000_000
 BATCH_BYTES = 4_000_000
 WORD_CACHE = 600_000
@@ -128,9 +129,8 @@ def _signature_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough."""
-    need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+def _texts(need: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cid, text): one text of each class in ``need`` (cid)."""
     need = cut(need.join(classes.select("cid", "key", F.col("rep").alias("id")), "cid"))
     few = need.count() <= BROADCAST_IDS
     rows = docs.join(F.broadcast(need) if few else need, "id")
@@ -142,28 +142,39 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
             keep = [i for i, (s, key) in enumerate(zip(shingle_sets(t, k), b.column("key").to_pylist(), strict=True)) if set_key(s) == key]
             yield b.take(pa.array(keep, pa.int64())).select(["cid", "text"])
 
-    repeated = need.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if repeated or docs.groupBy("id").count().filter("count > 1").limit(1).count():
-        texts = rows.select("cid", "key", "text").mapInArrow(own, "cid long, text string").dropDuplicates(["cid"])
-    else:
-        texts = rows.select("cid", "text")
-    texts = cut(texts)
+    if docs.groupBy("id").count().filter("count > 1").isEmpty():
+        return rows.select("cid", "text")
+    return rows.select("cid", "key", "text").mapInArrow(own, "cid long, text string").dropDuplicates(["cid"])
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int(np.count_nonzero(b[at] == a))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are similar enough."""
+    need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    texts = cut(_texts(need, classes, docs, k))
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_last = None, None
-        for whole in it:
-            for b in batches_of([whole], BATCH_BYTES, "tb"):
-                a, keep = b.column("a").to_pylist(), []
-                sets, ta = shingle_sets(byte_rows(b, "tb"), k), b.column("ta")
-                for i, y in enumerate(sets):
-                    if a[i] != last:
-                        last, of_last = a[i], shingle_sets([ta[i].as_py().encode()], k)[0]
-                    both = len(np.intersect1d(of_last, y, assume_unique=True))
-                    if 100 * both >= percent * (len(of_last) + len(y) - both):
-                        keep.append(i)
-                yield b.take(pa.array(keep, pa.int64())).select(["a", "b"])
+        for b in batches_of(it, BATCH_BYTES, "tb"):
+            a, keep = b.column("a").to_pylist(), []
+            sets, ta = shingle_sets(byte_rows(b, "tb"), k), b.column("ta")
+            for i, y in enumerate(sets):
+                if a[i] != last:
+                    last, of_last = a[i], shingle_sets([ta[i].as_py().encode()], k)[0]
+                if _similar(of_last, y, percent):
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
     joined = pairs.join(right, "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb")
     links = cut(joined.mapInArrow(check, "a long, b long"))
@@ -221,33 +232,53 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     links = _verified(star, classes, docs, k, percent)
     comp = components(links)
 
-    # Buckets that still hold several components: their cross-component pairs, in blocks.
-    placed = buckets.select("band", "cid").join(comp, F.col("cid") == F.col("node"), "left").select("band", "cid", F.coalesce("comp", "cid").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
-    rows = placed.join(mixed, "band").join(sigs, "cid").withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "sig", "size_")
+    # Clusters of candidates that still hold several components: what lies outside the largest meets all the rest, in blocks.
+    cluster = components(buckets.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct())
+    placed = cluster.select(F.col("node").alias("cid"), F.col("comp").alias("cluster")).join(comp, F.col("cid") == F.col("node"), "left").select("cid", "cluster", F.coalesce("comp", "cid").alias("comp"))
+    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster")
+    mixed = sizes.agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all")).filter("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("cluster", F.col("main.comp").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("all") - F.col("main.n")).alias("rests"))
+    rows = placed.join(mixed, "cluster").withColumn("rest", F.col("comp") != F.col("main"))
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(cid), if(rest, rests, mains)) as int)"))
+    # Groups: (0, i, j) two blocks of the rest, (1, i, j) a block of the rest and one of the main component.
+    rest_rest = "transform(sequence(0, rests - 1), j -> struct(0 as kind, least(own, j) as i, greatest(own, j) as j, int(own > j) as side))"
+    rest_main = "transform(sequence(0, mains - 1), j -> struct(1 as kind, own as i, j as j, 0 as side))"
+    main_rest = "transform(sequence(0, rests - 1), j -> struct(1 as kind, j as i, own as j, 1 as side))"
+    rows = rows.withColumn("to", F.explode(F.expr(f"if(rest, concat({rest_rest}, {rest_main}), {main_rest})"))).select("cluster", "to.*", "cid", "comp")
+    members_ = cut(placed.join(mixed.select("cluster"), "cluster", "left_semi").select("cid"))
+    texts = cut(_texts(members_, classes, docs, k).join(sigs, "cid"))
+    rows = rows.join(texts, "cid")
 
     def across(t: pa.Table) -> pa.Table:
-        own, cid, comp_ = (t.column(c).to_numpy() for c in ("own", "cid", "comp"))
-        size, sig = t.column("size_").to_numpy(), _signature_rows(t.column("sig"))
-        diagonal = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        out = [np.zeros((0, 2), np.int64)]
-        for x in range(len(cid)):
-            y = np.flatnonzero(comp_ != comp_[x])
-            y = y[cid[y] > cid[x]]
-            if not diagonal:
-                y = y[own[y] != own[x]]
-            y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent]
-            if len(y):
-                y = y[may_link(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
-                out.append(np.stack([np.full(len(y), cid[x]), cid[y]], axis=1))
-        ab = np.concatenate(out)
-        return pa.table([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
-
-    rest = cut(rows.groupBy("band", "i", "j").applyInArrow(across, "a long, b long").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = _verified(rest, classes, docs, k, percent)
+        """Links between components, until no pair of the group's two sides is both apart and untested."""
+        side, cid, comp_, size = (t.column(c).to_numpy() for c in ("side", "cid", "comp", "size_"))
+        sig, sets = _signature_rows(t.column("sig")), [None] * t.num_rows
+        text = t.column("text")
+        same = t.column("kind")[0].as_py() == 0 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
+
+        def set_of(i: int) -> np.ndarray:
+            if sets[i] is None:
+                sets[i] = shingle_sets([text[i].as_py().encode()], k)[0]
+            return sets[i]
+
+        _, comp_ = np.unique(comp_, return_inverse=True)
+        out = []
+        right = np.arange(len(cid)) if same else np.flatnonzero(side == 1)
+        for x in range(len(cid)) if same else np.flatnonzero(side == 0):
+            y = right[right > x] if same else right
+            y = y[(comp_[y] != comp_[x]) & (np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent)]
+            if not len(y):
+                continue
+            y = y[may_link(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
+            for z in y[np.argsort(-(sig[y] == sig[x]).sum(axis=1), kind="stable")]:
+                if comp_[z] != comp_[x] and _similar(set_of(x), set_of(z), percent):
+                    out.append((cid[x], cid[z]))
+                    comp_[comp_ == comp_[z]] = comp_[x]
+        return pa.table([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], ["a", "b"])
+
+    more = cut(rows.groupBy("cluster", "kind", "i", "j").applyInArrow(across, "a long, b long"))
+    if not more.isEmpty():
         comp = components(links.unionByName(more))
     final = classes.select("key", "cid", "rep").join(comp, F.col("cid") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "cid").alias("comp"))
     names = final.groupBy("comp").agg(F.min("rep").alias("component"))
