@@ -37,21 +37,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import byte_rows, cut
+from rillflow.llm.common import batches_of, byte_rows, cut
 
 END = b"\n"  # no word holds white space
 WORDS = 4_095
 CLASSES = 64
 PER_CLASS = (WORDS + 1) // CLASSES
 HIDDEN = 16
-WINDOW = 16
+WINDOW = 32
 BATCH = 128
 SHARE = 16
 ROUNDS = 2
 RATE = 0.08
 FREQUENT = 2.0**-20
 COUNTER = 400_000
-SCORE_TOKENS = 2_000_000
+SCORE_TOKENS = 1_500_000
+SCORE_BYTES = 4_000_000
 CHUNK = 8_192
 
 
@@ -135,11 +136,27 @@ def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield c, order[ends[c] : ends[c + 1]]
 
 
+def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """softmax(x)[row, at[row]]; logits are small, so their exponentials are taken as they are unless they overflow."""
+    rows = np.arange(len(x))
+    e = np.exp(x)
+    total = e.sum(axis=1)
+    p = e[rows, at] / total
+    bad = np.flatnonzero(~np.isfinite(total) | (total == 0))
+    if len(bad):
+        p[bad] = _softmax(x[bad])[np.arange(len(bad)), at[bad]]
+    return p
+
+
 def log_likelihood(net: Network, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log10 P(target | h), row by row: class, then word within it."""
-    p = _softmax(h @ net.wc + net.bc)[np.arange(len(h)), target // PER_CLASS].astype(np.float64)
-    for c, rows in _by_class(target):
-        p[rows] *= _softmax(h[rows] @ net.wo[c] + net.bo[c])[np.arange(len(rows)), target[rows] % PER_CLASS]
+    h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)  # the last column carries the biases
+    wc, wo = np.concatenate([net.wc, net.bc[None]]), np.concatenate([net.wo, net.bo[:, None]], axis=1)
+    kind, within = np.divmod(target, PER_CLASS)
+    with np.errstate(over="ignore", invalid="ignore"):
+        p = _picked(h @ wc, kind).astype(np.float64)
+        for c, rows in _by_class(target):
+            p[rows] *= _picked(h[rows] @ wo[c], within[rows])
     return np.log10(np.maximum(p, 1e-300))
 
 
@@ -305,7 +322,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataF
     total, distinct = sums.n, sums.v
     least = max(1, math.ceil(total * FREQUENT))
     known = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= least).collect()}  # at most 1 / FREQUENT rows
-    vocabulary = sorted(known, key=lambda w: (-known[w], w))[:WORDS]
+    by_count = sorted(known, key=lambda w: (-known[w], w))
+    vocabulary = by_count[:WORDS]
     ids = {w: i for i, w in enumerate(vocabulary)}
     inside = sum(known[w] for w in vocabulary)
     unigrams = np.zeros(WORDS + 1)
@@ -316,14 +334,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataF
         some = learn.filter(F.pmod(F.xxhash64(id_col), F.lit(SHARE * ROUNDS)) == r).select("text")
         net = _trained(some, net, ids)
     # log10 of: count smoothing for the base; the share of an unlisted word among the unlisted.
+    logs = np.log10(np.array([known[w] for w in by_count], np.float64) + 0.1)
+    places = {w: i for i, w in enumerate(by_count)}
     base_den = math.log10(total + 0.1 * (distinct + 1))
     rest_den = math.log10(total - inside + 0.1 * (distinct - len(vocabulary) + 1))
-    shared = spark.sparkContext.broadcast((net.flat, ids, known))
+    listed = len(vocabulary)
+    shared = spark.sparkContext.broadcast((net.flat, places, logs))
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, ids, known = shared.value
-        model = Network(flat)
-        logs = {w: math.log10(c + 0.1) for w, c in known.items()}
+        flat, places, logs = shared.value
+        model, place = Network(flat), places.get
 
         def settle(batches: list, words: list[np.ndarray], out: list[tuple]) -> Iterator[pa.RecordBatch]:
             s = score_documents(model, words)
@@ -335,16 +355,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataF
                 at += b.num_rows
 
         batches, words, out, held = [], [], [], 0
-        for b in it:
+        for b in batches_of(it, SCORE_BYTES, "text"):
             for t in byte_rows(b, "text"):
                 all_ = tokens(t)
-                number = np.array([ids.get(w, WORDS) for w in all_], np.int64)
-                rare = [w for w in all_ if w not in logs]
-                own = [logs[w] for w in all_ if w in logs] if rare else list(map(logs.__getitem__, all_))
-                unlisted = np.flatnonzero(number == WORDS)
-                rest = sum(logs.get(all_[i], 0.0) for i in unlisted) - len(unlisted) * rest_den
-                out.append((len(all_), len(own), math.fsum(own), rest, rare))
-                words.append(number)
+                at = np.array([place(w, -1) for w in all_], np.int64)
+                found = at[at >= 0]
+                own = logs[found]
+                rare = [all_[i] for i in np.flatnonzero(at < 0)] if len(found) < len(at) else []
+                rest = own[found >= listed].sum() - (len(at) - np.count_nonzero(found < listed)) * rest_den
+                out.append((len(all_), len(found), own.sum(), rest, rare))
+                words.append(np.where((at < 0) | (at >= listed), WORDS, at))
                 held += len(all_)
             batches.append(b)
             if held >= SCORE_TOKENS:
