@@ -106,8 +106,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WORD_SIZE,
     keyed = docs.select(F.col(id_col).alias("doc"), uid.alias("uid"), words("text").alias("w"))
     bad = cut(occurrences(keyed, cut(windows(items, size, item_col)), size).select("doc", "uid").distinct())
     few = bad.count() <= BROADCAST
-    bad = F.broadcast(bad) if few else bad
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("doc")) & (uid == F.col("uid")), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(id_col).alias("a"), uid.alias("b"))
+    return rows.join(F.broadcast(bad) if few else bad, F.col("a").eqNullSafe(F.col("doc")) & (F.col("b") == F.col("uid")), "left_anti").select("all.*")
 
 
 SQL = r"""

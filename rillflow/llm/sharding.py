@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import cut
 
 SHARDS = 24
-ROUNDS = 6
+ROUNDS = 10
 BUCKET_ROWS = 20_000
 LEAST_BUCKETS = 256
 
@@ -39,8 +39,12 @@ def propagate(groups: DataFrame, shards: int, capacity: int, rounds: int = ROUND
         room = [max(0, capacity - load.get(s, 0)) for s in range(shards)]
         free = F.array(*[F.lit(x) for x in room])
         at_home = F.when(F.get(free, F.col("shard")) > 0, F.struct("cnt", (-F.col("shard")).alias("neg")))
-        best = cells.groupBy("g").agg(F.max(at_home).alias("best"))
-        want = cells.join(best, "g").withColumns({"to": -F.col("best.neg"), "more": F.col("best.cnt")})
+        best = cells.groupBy("g").agg(F.max(at_home).alias("best"), F.sum("cnt").alias("all"), F.count("*").alias("apart"))
+        # A small group with no room in any of its shards meets in the roomiest one.
+        roomiest = room.index(max(room))
+        meets = F.col("best").isNull() & (F.col("apart") > 1) & (F.col("all") <= max(room))
+        to = F.when(meets, F.lit(roomiest)).otherwise(-F.col("best.neg"))
+        want = cells.join(best, "g").withColumns({"to": to, "more": F.when(meets, F.col("all")).otherwise(F.col("best.cnt"))})
         asks = F.col("to").isNotNull() & (F.col("to") != F.col("shard")) & ((F.col("more") > F.col("cnt")) | ((F.col("more") == F.col("cnt")) & (F.col("to") < F.col("shard"))))
         want = want.withColumn("asks", F.coalesce(asks, F.lit(False)))
         demand = {x["to"]: x.n for x in want.filter("asks").groupBy("to").agg(F.sum("cnt").alias("n")).collect()}
@@ -72,9 +76,11 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     order = Window.partitionBy("g").orderBy("shard")  # at most `shards` rows
     ends = cells.withColumn("end", F.sum("cnt").over(order)).groupBy("g").agg(F.max("end").alias("all"), F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
     choice = F.expr("filter(ends, e -> e.end > pmod(mix, all))[0].shard")
-    placed = rows.join(ends, "g", "left").select("id", "size", "crc", "mix", F.coalesce(choice, F.lit(-1)).alias("p"))
+    # What a full shard gives up are its last buckets: groups of a bucket's size or less stay together there.
+    near = F.when(F.col("all") <= BUCKET_ROWS // 4, F.col("g")).otherwise(F.col("mix")).alias("near")
+    placed = rows.join(ends, "g", "left").select("id", "size", "crc", "mix", near, F.coalesce(choice, F.lit(-1)).alias("p"))
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ROWS))
-    placed = cut(placed.withColumn("bucket", F.expr(f"pmod(xxhash64(mix, 7), {buckets})").cast("int")))
+    placed = cut(placed.withColumn("bucket", F.expr(f"pmod(xxhash64(near, 7), {buckets})").cast("int")))
     counts = placed.groupBy("p", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.withColumn("base", F.coalesce(before, F.lit(0))).drop("n")
@@ -86,7 +92,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         over.append(over[-1] + load.get(s, 0) - kept[s])
         fill.append(fill[-1] + size[s] - kept[s])
     gaps = F.array(*[F.struct(F.lit(fill[s + 1]).cast("long").alias("end"), F.lit(s).alias("s"), F.lit(kept[s] - fill[s]).cast("long").alias("add")) for s in range(shards)])
-    inner = Window.partitionBy("p", "bucket").orderBy("mix", "id", "crc")
+    inner = Window.partitionBy("p", "bucket").orderBy("near", "mix", "id", "crc")
     ranked = placed.withColumn("r", F.row_number().over(inner) - 1).join(base, ["p", "bucket"]).withColumn("r", F.col("r") + F.col("base"))
     longs = lambda x: F.array(*[F.lit(v).cast("long") for v in x])
     stays = (F.col("p") >= 0) & (F.col("r") < F.get(longs(kept), F.col("p")))

@@ -37,7 +37,13 @@ adult-x.example.com/en/8 adult-cams.example.net/live/3 xxx-video.example.org/wat
 poker-bonus.example.com/join/1 slots-jackpot.example.net/play/7 payday-loans.example.org/apply/5 loan-fast.example.com/en/6
 replica-watches.example.net/shop/3 keygen-crack.example.org/dl/2 popup-ads.example.com/p/44 track-pixel.example.net/t/9
 win-prize.example.org/claim/1 hot-singles.example.com/chat/8 seo-links.example.net/buy/2 click-farm.example.org/en/31
-viagra-discount.example.com/en/2 betting-tips.example.net/de/7
+viagra-discount.example.com/en/2 betting-tips.example.net/de/7 free-casino.example.org/spin/3 bet-win.example.net/fr/8
+m.cheap-watches.example.com/buy/4 pills-shop.example.org/en/9 blog.spam-links.example.net/es/2 adult-video.example.org/watch/1
+track-ads.example.com/click/5 click-ads.example.net/banner/3 poker-win.example.org/play/6 casino-slots.example.com/bonus/2
+best-loan.example.net/apply/4 free-prize.example.com/claim/7 xxx-cams.example.net/live/8 hot-adult.example.org/chat/2
+crack-dl.example.com/keygen/1 replica-bags.example.org/shop/5 seo-spam.example.com/buy/9 popup-track.example.net/p/3
+discount-pills.example.net/offer/6 jackpot-bonus.example.org/join/4 fast-payday.example.com/loan/3 farm-click.example.net/en/8
+singles-chat.example.com/hot/7 betting-bets.example.org/tips/2
 """.split()
 WANTED = """
 www.news.example.com/en/12 blog.thering.example.org/en/4 m.therat.example.com/fr/3 tionsh.example.net/en/41
@@ -47,7 +53,13 @@ www.therwh.example.org/es/3 recipes.example.net/soup/9 m.ththst.example.org/en/2
 garden-club.example.com/roses/7 blog.tionble.example.com/en/5 health.example.org/sleep/6 therhe.example.net/es/3
 travel.example.com/rome/2 science-daily.example.net/stars/44 www.theron.example.com/fr/9 chess.example.org/games/1
 ththly.example.org/de/8 music-school.example.net/piano/2 m.ththed.example.net/en/31 parks.example.com/trails/2
-blog.thered.example.com/en/7 open-data.example.org/maps/6
+blog.thered.example.com/en/7 open-data.example.org/maps/6 news-daily.example.net/en/3 science-library.example.org/books/8
+m.weather-maps.example.com/today/4 school-garden.example.net/roses/2 blog.therin.example.org/de/9 www.ththea.example.com/fr/5
+city-history.example.org/museum/1 university-docs.example.net/course/6 music-guide.example.com/piano/3 travel-parks.example.org/trails/7
+health-recipes.example.net/soup/2 www.thernd.example.com/es/8 m.ththan.example.net/en/12 ththor.example.org/en/6
+chess-club.example.com/games/4 daily-recipes.example.org/sleep/5 blog.ththti.example.net/fr/2 council-data.example.com/minutes/9
+garden-science.example.net/stars/1 www.ththing.example.org/de/3 therer.example.com/en/44 history-books.example.net/library/2
+www.thertion.example.net/es/6 open-news.example.com/guide/7
 """.split()
 
 
