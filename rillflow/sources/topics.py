@@ -121,16 +121,18 @@ class TopicManager:
         start = self.get_offset(topic) if start is None else start
         has = set(rows.columns)
         order = F.col("seq") if "seq" in has else F.monotonically_increasing_id()
-        out = rows.withColumn("_seq", order).select(
-            F.lit(topic).alias("topic"), partition_of(F.col("key"), config["partitions"]).alias("partition"),
-            # One append is one micro-batch of an emitter; its rows get their offsets in one order.
-            (F.row_number().over(Window.orderBy("_seq")) - 1 + start).cast("long").alias("offset"),
+        # Sorted over all tasks; an offset is its partition's first one plus the place within, so no task sees all rows.
+        rows = materialised(rows.withColumn("_seq", order).orderBy("_seq").withColumn("_m", F.monotonically_increasing_id())).withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+        sizes = rows.groupBy("_p").agg(F.count("*").alias("n"))  # one row per partition
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        out = rows.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").select(
+            F.lit(topic).alias("topic"), partition_of(F.col("key"), config["partitions"]).alias("partition"), (F.col("_before") + F.col("_i") + start).cast("long").alias("offset"),
             (F.col("timestamp") if "timestamp" in has else F.lit(None)).cast("timestamp").alias("timestamp"), "key", F.col("value").cast("binary").alias("value"),
             (F.col("headers") if "headers" in has else F.lit(None)).cast("map<string,binary>").alias("headers"),
         )
-        out = materialised(out)
         out.write.mode("overwrite").parquet(f"{self.path(topic)}/from={start:020d}{'-' + tag if tag else ''}")
-        return start + out.count()
+        return start + total
 
     def _appends(self, topic: str) -> list[str]:
         fs, p = self._fs(self.path(topic))
