@@ -28,6 +28,7 @@ rows every count is 0 and the network stays at its start.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -298,7 +299,7 @@ def _trained(texts: DataFrame, net: Network, ids: dict[bytes, int]) -> Network:
             own, n = Network(flat.copy()), sum(map(len, docs))
             train(own, docs)
             rows = [(own.flat[i * CHUNK : (i + 1) * CHUNK] * np.float32(n)).tobytes() for i in range(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([hash(rows[0]) % 16] * parts, pa.int32()), pa.array([float(n)] * parts, pa.float64()), pa.array(rows, pa.binary())], ["part", "salt", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([zlib.crc32(rows[0]) % 16] * parts, pa.int32()), pa.array([float(n)] * parts, pa.float64()), pa.array(rows, pa.binary())], ["part", "salt", "n", "w"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         w = np.sum([np.frombuffer(x, np.float32) for x in group.w], axis=0, dtype=np.float32)

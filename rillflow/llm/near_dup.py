@@ -299,3 +299,17 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     gone = cut(near_duplicates(rows, k, percent, key).filter("not kept").select(key))
     few = gone.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*docs.columns)
+
+
+SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+i as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i : i + 3], ' ') as s from i),
+n as (select doc_id, count(*) as n from s group by doc_id),
+b as (select x.doc_id as a, y.doc_id as b, count(*) as both from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+l as (select b.a, b.b from b join n x on b.a = x.doc_id join n y on b.b = y.doc_id where 100 * b.both >= 80 * (x.n + y.n - b.both)),
+c as (select doc_id, doc_id as component from d union select l.b, c.component from c join l on c.doc_id = l.a),
+m as (select doc_id, min(component) as component_id from c group by doc_id)
+select m.doc_id, coalesce(n.n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n on m.doc_id = n.doc_id
+"""

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rillflow.llm import decontaminate, topk
+from rillflow.llm import decontaminate, near_dup, suffix_dedup, topk
 from rillflow.llm.common import table
 from rillflow.llm.lm import lm_scores
-from rillflow.llm.near_dup import near_duplicates
 from rillflow.llm.packing import pack
 from rillflow.llm.sharding import balanced_shards
-from rillflow.llm.suffix_dedup import suffix_digests
 from rillflow.llm.token_counts import token_counts
 from rillflow.llm.toxicity import toxicity
 from rillflow.llm.url_filter import url_filter
 
 
 def op1_near_duplicates(spark, d):
-    return near_duplicates(table(spark, d, "documents"))
+    return near_dup.near_duplicates(table(spark, d, "documents"))
 
 
 def op2_token_counts(spark, d):
@@ -53,8 +51,8 @@ def op9_packing(spark, d):
 
 
 def op10_suffix_dedup(spark, d):
-    return suffix_digests(table(spark, d, "documents"))
+    return suffix_dedup.suffix_digests(table(spark, d, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_top_k, op4_sharding, op5_lm_scores, op6_url_filter, op7_toxicity, op8_decontamination, op9_packing, op10_suffix_dedup)}
-ORACLE_SQL = {"op3_top_k": topk.SQL, "op8_decontamination": decontaminate.SQL}
+ORACLE_SQL = {"op1_near_duplicates": near_dup.SQL, "op3_top_k": topk.SQL, "op8_decontamination": decontaminate.SQL, "op10_suffix_dedup": suffix_dedup.SQL}

@@ -453,3 +453,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"), int(gone.sum())
 
     return _each(docs, length, id_col, "text string, n_removed bigint", make, [c for c in docs.columns if c not in (id_col, "text", "n_removed")])
+
+
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, p, substr(h, cast(2 * p + 1 as bigint), 200) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as p from d where len(h) >= 200)),
+r as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) as k from w) where k > 1),
+e as (select doc_id, p, max(p + 100) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding) as before from r),
+g as (select doc_id, p, sum(case when before is null or p > before then 1 else 0 end) over (partition by doc_id order by p) as run from e),
+t as (select doc_id, run, min(p) as first, max(p) + 100 as last from g group by doc_id, run),
+k as (select doc_id, first, last, coalesce(lag(last) over (partition by doc_id order by first), 0) as before from t),
+x as (select doc_id, cast(sum(last - first) as bigint) as n_removed, count(*) as n_spans, max(last) as last from t group by doc_id),
+y as (select k.doc_id, string_agg(substr(d.h, cast(2 * k.before + 1 as bigint), cast(2 * (k.first - k.before) as bigint)), '' order by k.first) as h from k join d on k.doc_id = d.doc_id group by k.doc_id)
+select d.doc_id, len(d.h) // 2 as n_bytes, coalesce(x.n_removed, 0) as n_removed, coalesce(x.n_spans, 0) as n_spans,
+  sha256(unhex(case when x.doc_id is null then d.h else y.h || substr(d.h, cast(2 * x.last + 1 as bigint)) end)) as kept_sha256
+from d left join x on d.doc_id = x.doc_id left join y on d.doc_id = y.doc_id
+"""

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import byte_rows
+from rillflow.llm.common import batches_of, byte_rows, cut
 
 TABLE_SIZE = 65_536
 CACHE_SIZE = 400_000
+BATCH_BYTES = 4_000_000
 _workers: dict = {}
 
 
@@ -80,7 +81,12 @@ def frequent_pretokens(docs: DataFrame, size: int = TABLE_SIZE) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     rows = docs.select("text").mapInArrow(summarise, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in rows.orderBy(F.desc("n"), "word").limit(size).select("word").collect() if "\x00" not in r.word]
+    rows = cut(rows)
+    total = rows.agg(F.sum("n").alias("n")).first().n or 0
+    # Words with at least this share are 8 * size at most; the driver picks the size most frequent of them.
+    often = rows.filter(F.col("n") >= total / (8 * size)).collect()
+    often.sort(key=lambda r: (-r.n, r.word))
+    return [r.word for r in often[:size] if "\x00" not in r.word]
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", limit: int = 4096, table_size: int = TABLE_SIZE) -> DataFrame:
@@ -100,7 +106,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", limit: int
             table = dict(zip(shared.value[0].split("\x00"), shared.value[1], strict=True)) if shared.value[1] else {}
             _workers[key] = Lengths(model, {w: n for w, n in table.items() if n < 255})
         lengths_of = _workers[key]
-        for b in it:
+        for b in batches_of(it, BATCH_BYTES, "text"):
             texts = b.column("text").to_pylist()
             tokens = [lengths_of.of(t) for t in texts]
             size = [len(x) if x else 0 for x in byte_rows(b, "text")]
