@@ -44,7 +44,7 @@ MISS = 1e-6
 BLOCK = 512
 BROADCAST_IDS = 2_000_000
 BATCH_BYTES = 4_000_000
-WORD_CACHE = 600_000
+WORD_CACHE = 300_000
 
 
 class WordHash(dict):

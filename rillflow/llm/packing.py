@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut
+from rillflow.llm.common import batches_of, cut
 
 CACHE_SIZE = 500_000
+BATCH_BYTES = 4_000_000
 _workers: dict = {}
 
 Bins = list[tuple[int, tuple[tuple[int, int], ...]]]  # (bins, ((length, how many of it), ...))
@@ -219,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0, id_col:
             _workers[tokenizer] = Ids(tokenizer)
         ids_of = _workers[tokenizer]
         last = np.array([end], "<u4").tobytes()
-        for b in it:
+        for b in batches_of(it, BATCH_BYTES, "text"):
             out: list[tuple[int, int, int, int, int]] = []
             for row, text in enumerate(b.column("text").to_pylist()):
                 ids = ids_of.of(text) + last

@@ -42,7 +42,7 @@ from rillflow.llm.common import batches_of, byte_rows, cut, mix64, release
 LENGTH = 100
 GRAM = 32
 STRETCHES = 20_000
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 NAME_BYTES = 250_000  # small enough for the arrays to stay in cache
 BROADCAST_COPIES = 2_000_000
 

@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut
+from rillflow.llm.common import batches_of, cut
 
 MAX_LABELLED = 20_000
 MAX_LEXICON = 1_024
 PREFIXES = (4, 5, 6, 7)
 FLOOR = 0.02  # score of a text without a match
-CACHE_SIZE = 500_000
+CACHE_SIZE = 200_000
+BATCH_BYTES = 4_000_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
 
@@ -227,7 +228,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", thresho
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Lexicon(lexicon.value)
-        for b in it:
+        for b in batches_of(it, BATCH_BYTES, "text"):
             s = [words.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], [id_col, "held_out", "score", "predicted"])
 
@@ -242,7 +243,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", thres
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Lexicon(lexicon.value)
-        for b in it:
+        for b in batches_of(it, BATCH_BYTES, "text"):
             yield b.filter(pa.array([words.score(t) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
