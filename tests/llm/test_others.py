@@ -210,3 +210,42 @@ def test_pipeline(spark):
         assert {r.doc_id for r in stage.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in stage.select("doc_id").collect()}
+
+
+def test_pipeline_against_brute_force(spark):
+    """The same stages by hand: scores from the grammar, all pairs, all windows, all item windows, the tokenizer itself."""
+    import re
+
+    import corpus_pipeline
+
+    from .test_texts import check_packing, components_by_hand
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = dict(tuple(r) for r in docs.select("doc_id", "text").collect())
+    bad = {r.doc_id for r in toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("predicted = 1").collect()}
+    rows = {i: t for i, t in rows.items() if i not in bad}
+    keep = {i for i, _, _, kept in components_by_hand(list(rows.items()), k=5) if kept}
+    rows, seen, texts = {i: t for i, t in rows.items() if i in keep}, set(), {}
+    for i in sorted(rows):
+        b = rows[i].encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = True
+            seen.add(w)
+        texts[i] = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+    split = lambda t: [w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = split(r.text)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    clean = {i: t for i, t in texts.items() if not any(tuple(w[j : j + n]) in windows for w in [split(t)] for n in sizes for j in range(len(w) - n + 1))}
+
+    stage = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, SF)
+    assert {r.doc_id: r.text for r in stage.collect()} == clean
+    assert all(r.n_chars == len(r.text) for r in stage.collect() if rows[r.doc_id] != r.text)
+    check_packing(stage, list(clean.items()))
