@@ -66,3 +66,12 @@ def test_tombstones_do_not_bring_keys_back(spark):
     assert [r.key for r in view.range("", "").collect()] == ["Z", "b", "z", "é"]
     assert [r.key for r in view.seek("c").collect()] == ["z", "é"]
     assert not view.evict(spark.createDataFrame([("z",)], "key string")).has("z")
+
+
+def test_package_is_sent_once(spark):
+    from rillflow.ship import ship
+
+    ship(spark)
+    sent = list(spark.sparkContext.listArchives) + list(spark.sparkContext._python_includes)
+    ship(spark)
+    assert [x for x in sent if "rillflow" in x] and list(spark.sparkContext.listArchives) + list(spark.sparkContext._python_includes) == sent
