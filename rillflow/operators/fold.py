@@ -71,3 +71,19 @@ def final_latch(df: DataFrame, on: Column, off: Column, key: str = "key", order:
     flag = F.when(on, F.lit(True)).when(off, F.lit(False))
     marked = df.select(key, F.col(order).alias("_o"), flag.alias("_f")).filter(F.col("_f").isNotNull())
     return marked.groupBy(key).agg(F.max_by("_f", "_o").alias("value"))
+
+
+def running_sum_in_buckets(df: DataFrame, value: Column, width: int, key: str = "key", order: str = "offset", name: str = "value") -> DataFrame:
+    """:func:`running_sum` for keys that hold a large share of all rows.
+
+    A key's order is cut into buckets of ``width``; buckets are summed before
+    they are shuffled, a bucket's rows start from the sum of those before, and
+    no task holds more than a bucket's rows.
+    """
+    df = df.withColumns({"_bucket": F.floor(F.col(order) / width), "_value": value})
+    sums = df.groupBy(key, "_bucket").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumn(name, F.sum("_value").over(inside)).join(sums, [key, "_bucket"])
+    return out.withColumn(name, F.coalesce(name, F.lit(0)) + F.col("_before")).drop("_bucket", "_value", "_before")

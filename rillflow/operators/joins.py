@@ -29,6 +29,30 @@ def join_asof(stream: DataFrame, changelog: DataFrame, *columns: str, key: str =
     return both.select(*stream.columns, *[F.col(f"_change.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
+def join_asof_in_buckets(stream: DataFrame, changelog: DataFrame, width: int, *columns: str, key: str = "key", order: str = "offset", prefix: str = "table_") -> DataFrame:
+    """:func:`join_asof` for keys that hold a large share of all rows.
+
+    A key's order is cut into buckets of ``width``; the last change of each
+    bucket is aggregated before it is shuffled and carried into later ones, so
+    no task holds more than a bucket's rows.
+    """
+    columns = columns or ("value",)
+    change = F.struct(*[F.col(c).alias(c) for c in columns])
+    bucket = F.floor(F.col(order) / width)
+    kind = changelog.select(change.alias("c")).schema["c"].dataType
+    left = stream.withColumns({"_side": F.lit(1), "_change": F.lit(None).cast(kind), "_bucket": bucket})
+    right = changelog.select(key, order, F.lit(0).alias("_side"), change.alias("_change"), bucket.alias("_bucket"))
+    last = left.select(key, "_bucket", order, "_change").unionByName(right.select(key, "_bucket", order, "_change"))
+    last = last.groupBy(key, "_bucket").agg(F.max_by("_change", F.when(F.col("_change").isNotNull(), F.col(order))).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(key, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    w = Window.partitionBy(key, "_bucket").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_change", F.last("_change", ignorenulls=True).over(w)).filter("_side = 1").join(last, [key, "_bucket"])
+    found = F.coalesce("_change", "_carried")
+    return both.withColumn("_change", found).select(*stream.columns, *[F.col(f"_change.{c}").alias(f"{prefix}{c}") for c in columns])
+
+
 def lookup(stream: DataFrame, table: DataFrame, on: Column, rows: int | None = None) -> DataFrame:
     """Each message with a row of a replicated table, found by any key.
 

@@ -397,3 +397,13 @@ def q43_output_stats(spark, d):
 def q44_running_latch(spark, d):
     e = events(spark, d)
     return e.select("key", "offset", F.coalesce(fold.running_latch(is_error(), F.col("event_type") == "signup", fold.history()), F.lit(False)).alias("blocked"))
+
+
+@query(SQL["q15_sum_changelog"])
+def q15b_sum_changelog_in_buckets(spark, d):
+    return fold.running_sum_in_buckets(events(spark, d).select("key", "offset", "cents"), F.col("cents"), 1000).select("key", "offset", "value")
+
+
+@query(SQL["q26_join_asof"])
+def q26b_join_asof_in_buckets(spark, d):
+    return joins.join_asof_in_buckets(orders(spark, d), changes(events(spark, d)), 1000)
