@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Record batches between Spark and Python of a few MB, however long the texts are; a session's own setting stays."""
+    if not spark.conf.get(ARROW_BYTES, None):
+        spark.conf.set(ARROW_BYTES, "4m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a private one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

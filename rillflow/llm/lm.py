@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batches_of, byte_rows, cut
+from rillflow.llm.common import batches_of, bounded_batches, byte_rows, cut
 
 END = b"\n"  # no word holds white space
 WORDS = 4_095
@@ -315,6 +315,7 @@ def _trained(texts: DataFrame, net: Network, ids: dict[bytes, int]) -> Network:
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     base = docs.select(F.col(id_col).alias("id"), "text", F.coalesce(fold == 0, F.lit(False)).alias("held_out"))
     learn = docs.filter(fold != 0)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batches_of, cut
+from rillflow.llm.common import batches_of, bounded_batches, cut
 
 CACHE_SIZE = 500_000
 BATCH_BYTES = 4_000_000
@@ -235,6 +235,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0, id_col:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     # The bucket splits the ranks of a common length over many tasks.
     rows = cut(pieces(docs, tokenizer, capacity, end, id_col).withColumn("uid", F.expr(f"xxhash64(`{id_col}`, piece, start, ids_crc32)")))
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows

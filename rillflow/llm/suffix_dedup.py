@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import batches_of, byte_rows, cut, mix64, release
+from rillflow.llm.common import batches_of, bounded_batches, byte_rows, cut, mix64, release
 
 LENGTH = 100
 GRAM = 32
 STRETCHES = 20_000
 BATCH_BYTES = 1_000_000
 NAME_BYTES = 250_000  # small enough for the arrays to stay in cache
-BROADCAST_COPIES = 2_000_000
+BROADCAST_COPIES = 1_000_000
 
 
 # --- names ----------------------------------------------------------------
@@ -415,6 +415,7 @@ def _covered(spans: list[dict] | None, size: int, length: int) -> np.ndarray:
 def _each(docs: DataFrame, length: int, id_col: str, schema: str, make, others: list[str] = ()) -> DataFrame:
     """``make(text, mask)`` for every row, beside its id and ``others``."""
     types = {c: docs.schema[c].dataType.simpleString() for c in others}
+    bounded_batches(docs.sparkSession)
     docs, kind = _with_order(docs, id_col, list(others))
     spans = repeated_spans(docs, length)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batches_of, byte_rows, cut
+from rillflow.llm.common import batches_of, bounded_batches, byte_rows, cut
 
 TABLE_SIZE = 65_536
 CACHE_SIZE = 400_000
@@ -94,6 +94,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", limit: int
     import sentencepiece
 
     docs = docs.select(F.col(id_col), "text")
+    bounded_batches(docs.sparkSession)
     words = frequent_pretokens(docs, table_size)
     encode = sentencepiece.SentencePieceProcessor(model_file=model).encode
     lengths = bytes(min(255, len(x) - (w[0] == "\n")) for w, x in zip(words, encode(words) if words else [], strict=True))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batches_of, cut
+from rillflow.llm.common import batches_of, bounded_batches, cut
 
 MAX_LABELLED = 20_000
 MAX_LEXICON = 1_024
@@ -210,6 +210,7 @@ def learn(labelled: DataFrame, positives: int, negatives: int) -> dict[str, floa
 
 def learned_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 4, held_fold: int = 2) -> dict[str, float]:
     """Insult terms and weights from the labelled rows outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     train = labels.filter((_fold(id_col, folds) != held_fold) & F.col("toxic").isNotNull()).select(F.col(id_col), F.col("toxic").cast("int").alias("toxic"))
     train = train.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     train = train.orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
