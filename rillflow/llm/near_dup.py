@@ -6,8 +6,9 @@
 2. Signatures are cut into bands; classes that agree in a band are candidates.
    A pair at the threshold misses all bands with a chance of
    (1 - t**rows)**bands: 5e-8 at the defaults.
-3. Candidates of a bucket are first the pairs with its least member: their
-   number is linear in the bucket.  Signatures are compared batch by batch; a
+3. Candidates of a bucket are first the pairs with its least member: one pair
+   per class, then one per class and component it is still apart from, so
+   their number is linear.  Signatures are compared batch by batch; a
    pair is dropped as soon as the posterior probability that its similarity
    reaches the threshold falls under ``MISS`` (uniform prior).
 4. Survivors are verified on their full sets; links give components.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import MIX, batches_of, byte_rows, cut, drop_cut, mix64
+from rillflow.llm.common import MIX, batches_of, bounded_batches, byte_rows, cut, drop_cut, mix64
 from rillflow.llm.graph import components
 
 BANDS, ROWS = 32, 4
@@ -42,7 +43,7 @@ HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, HASHES)
 MISS = 1e-6
 BLOCK = 512
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 BATCH_BYTES = 4_000_000
 WORD_CACHE = 300_000
 
@@ -175,6 +176,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 if _similar(of_last, y, percent):
                     keep.append(i)
             yield b.take(pa.array(keep, pa.int64())).select(["a", "b"])
+        _hashes.clear()
 
     joined = pairs.join(right, "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb")
     links = cut(joined.mapInArrow(check, "a long, b long"))
@@ -186,55 +188,11 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).alias("id"), "text")
-    kind = docs.schema["id"].dataType.simpleString()
-    least = least_matches(percent / 100)
-
-    def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, BATCH_BYTES, "text"):
-            sets = shingle_sets(byte_rows(b, "text"), k)
-            full = [s for s in sets if len(s)]
-            sig = iter(signatures(full)) if full else iter(())
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([next(sig).tobytes() if len(s) else b"" for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", "n", "key", "sig"])
-
-    members = cut(docs.mapInArrow(describe, f"id {kind}, n long, key binary, sig binary"))
-    classes = members.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
-
-    def band(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.arange(BANDS, dtype=np.uint64)[None, :] * MIX
-        for b in it:
-            if b.num_rows:
-                s = _signature_rows(b.column("sig")).astype(np.uint64).reshape(-1, BANDS, ROWS)
-                h = number.repeat(len(s), 0)
-                for r in range(ROWS):
-                    h = mix64(h ^ s[:, :, r])
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(b.column("cid").to_numpy(), BANDS))], ["band", "cid"])
-
-    bands = classes.select("cid", "sig").mapInArrow(band, "band long, cid long")
-    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("cid").alias("first")).filter("size > 1")
-    buckets = cut(bands.join(shared, "band"))
-    sigs = classes.select("cid", "sig", F.col("n").alias("size_"))
-    ratio = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+def _across_components(placed: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, least: dict[int, int]) -> DataFrame:
+    """Links (a, b) between components of a cluster: what lies outside its largest meets all the rest, in blocks.
 
-    def prune(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                keep = may_link(_signature_rows(b.column("sa")), _signature_rows(b.column("sb")), least)
-                yield b.take(pa.array(keep)).select(["a", "b"])
-
-    star = buckets.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    star = star.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb"), F.col("size_").alias("nb")), "b").join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa"), F.col("size_").alias("na")), "a").filter(ratio(F.col("na"), F.col("nb")))
-    star = cut(star.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"))
-    links = _verified(star, classes, docs, k, percent)
-    comp = components(links)
-
-    # Clusters of candidates that still hold several components: what lies outside the largest meets all the rest, in blocks.
-    cluster = components(buckets.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct())
-    placed = cluster.select(F.col("node").alias("cid"), F.col("comp").alias("cluster")).join(comp, F.col("cid") == F.col("node"), "left").select("cid", "cluster", F.coalesce("comp", "cid").alias("comp"))
+    ``placed`` has cid, cluster and comp; every cluster has several components.
+    """
     sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster")
     mixed = sizes.agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all")).filter("comps > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -277,9 +235,81 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
                     comp_[comp_ == comp_[z]] = comp_[x]
         return pa.table([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], ["a", "b"])
 
-    more = cut(rows.groupBy("cluster", "kind", "i", "j").applyInArrow(across, "a long, b long"))
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
+    return cut(rows.groupBy("cluster", "kind", "i", "j").applyInArrow(across, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """Per row: id, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("id"), "text")
+    kind = docs.schema["id"].dataType.simpleString()
+    least = least_matches(percent / 100)
+
+    def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(it, BATCH_BYTES, "text"):
+            sets = shingle_sets(byte_rows(b, "text"), k)
+            full = [s for s in sets if len(s)]
+            sig = iter(signatures(full)) if full else iter(())
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([next(sig).tobytes() if len(s) else b"" for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", "n", "key", "sig"])
+        _hashes.clear()  # workers live on; later tasks need the memory more than these words
+
+    members = cut(docs.mapInArrow(describe, f"id {kind}, n long, key binary, sig binary"))
+    classes = members.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+
+    def band(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(BANDS, dtype=np.uint64)[None, :] * MIX
+        for b in it:
+            if b.num_rows:
+                s = _signature_rows(b.column("sig")).astype(np.uint64).reshape(-1, BANDS, ROWS)
+                h = number.repeat(len(s), 0)
+                for r in range(ROWS):
+                    h = mix64(h ^ s[:, :, r])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(b.column("cid").to_numpy(), BANDS))], ["band", "cid"])
+
+    bands = classes.select("cid", "sig").mapInArrow(band, "band long, cid long")
+    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("cid").alias("first")).filter("size > 1")
+    buckets = cut(bands.join(shared, "band"))
+    sigs = classes.select("cid", "sig", F.col("n").alias("size_"))
+    ratio = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+
+    def prune(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                keep = may_link(_signature_rows(b.column("sa")), _signature_rows(b.column("sb")), least)
+                yield b.take(pa.array(keep)).select(["a", "b"])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among (a, b): sizes, then signatures, then full sets."""
+        pairs = pairs.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb"), F.col("size_").alias("nb")), "b").join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa"), F.col("size_").alias("na")), "a").filter(ratio(F.col("na"), F.col("nb")))
+        return _verified(cut(pairs.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long")), classes, docs, k, percent)
+
+    star = cut(buckets.filter("cid <> first").select("first", "cid").distinct())
+
+    def unresolved(comp: DataFrame) -> DataFrame:
+        """Pairs (first, cid) whose components a and b differ."""
+        at = star.join(comp, F.col("cid") == F.col("node"), "left").select("first", "cid", F.coalesce("comp", "cid").alias("b"))
+        at = at.join(comp, F.col("first") == F.col("node"), "left").select("first", "cid", F.coalesce("comp", "first").alias("a"), "b")
+        return at.filter("a <> b")
+
+    # One pair per class first; then one per class and component that it is still apart from.
+    links = linked(star.groupBy(F.col("cid").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+    comp = components(links)
+    second = linked(unresolved(comp).groupBy(F.col("cid").alias("b"), F.col("a").alias("other")).agg(F.min("first").alias("a")).select("a", "b"))
+    if not second.isEmpty():
+        links = links.unionByName(second)
+        comp = components(links)
+
+    # Candidates whose components are still apart join these into clusters.
+    apart = cut(unresolved(comp).select("a", "b").distinct())
+    if not apart.isEmpty():
+        nodes = buckets.select("cid").distinct().join(comp, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
+        cluster = components(apart).select("node", F.col("comp").alias("cluster"))
+        placed = nodes.join(cluster, F.col("comp") == F.col("node")).select("cid", "cluster", "comp")
+        more = _across_components(placed, classes, sigs, docs, k, percent, least)
+        if not more.isEmpty():
+            comp = components(links.unionByName(more))
     final = classes.select("key", "cid", "rep").join(comp, F.col("cid") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "cid").alias("comp"))
     names = final.groupBy("comp").agg(F.min("rep").alias("component"))
     final = final.join(names, "comp").select(F.col("key").alias("key_"), "component")
