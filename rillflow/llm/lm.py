@@ -7,11 +7,12 @@ their counts.  The output softmax is factored: a class of words, then the word
 within its class.  Output biases start at the unigram logarithms.
 
 Training: truncated backpropagation through ``WINDOW`` tokens with the state
-carried from window to window over whole documents.  Every task trains on a
-fixed share of its own training documents (1 of ``SHARE``, by hash, at every
-size), starting from the same weights; the tasks' weights are averaged, in
-``ROUNDS`` rounds.  The weights' size is fixed; how many are averaged grows
-with the input.
+carried from window to window over whole documents, which follow one another
+in up to ``BATCH`` lanes; a document starts from a zero state.  ``ROUNDS``
+rounds part the training documents among them by a hash of the id, so each is
+trained on once.  In a round every task trains on all its documents of that
+round, starting from the same weights; the tasks' weights are averaged.  The
+weights' size is fixed; how many are averaged grows with the input.
 
 Scoring reads whole documents, carrying the state through; documents run side
 by side, longest first.  Words with at least ``FREQUENT`` of all tokens (so at
@@ -27,10 +28,12 @@ rows every count is 0 and the network stays at its start.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -47,12 +50,12 @@ PER_CLASS = (WORDS + 1) // CLASSES
 HIDDEN = 16
 WINDOW = 32
 BATCH = 128
-SHARE = 16
 ROUNDS = 2
 RATE = 0.08
 FREQUENT = 2.0**-20
 COUNTER = 400_000
 SCORE_TOKENS = 1_500_000
+TRAIN_TOKENS = 1_500_000
 SCORE_BYTES = 4_000_000
 CHUNK = 8_192
 
@@ -121,27 +124,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
+    """In place; logits are small, so their exponentials are taken as they are unless they could overflow or vanish."""
+    if x.size and not (x.max() < 60 and x.min() > -60):
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    kind = target // PER_CLASS
-    order = np.argsort(kind, kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
-
-
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """softmax(x)[row, at[row]]; logits are small, so their exponentials are taken as they are unless they overflow."""
     rows = np.arange(len(x))
     e = np.exp(x)
-    total = e.sum(axis=1)
+    total = e @ np.ones(e.shape[1], e.dtype)
     p = e[rows, at] / total
     bad = np.flatnonzero(~np.isfinite(total) | (total == 0))
     if len(bad):
@@ -153,12 +148,21 @@ def log_likelihood(net: Network, h: np.ndarray, target: np.ndarray) -> np.ndarra
     """log10 P(target | h), row by row: class, then word within it."""
     h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)  # the last column carries the biases
     wc, wo = np.concatenate([net.wc, net.bc[None]]), np.concatenate([net.wo, net.bo[:, None]], axis=1)
-    kind, within = np.divmod(target, PER_CLASS)
+    order = np.argsort((target // PER_CLASS).astype(np.int16), kind="stable")
+    h, (kind, within) = h[order], np.divmod(target[order], PER_CLASS)
+    ends = np.searchsorted(kind, np.arange(CLASSES + 1))
+    p = np.empty(len(h))
     with np.errstate(over="ignore", invalid="ignore"):
-        p = _picked(h @ wc, kind).astype(np.float64)
-        for c, rows in _by_class(target):
-            p[rows] *= _picked(h[rows] @ wo[c], within[rows])
-    return np.log10(np.maximum(p, 1e-300))
+        for c in range(CLASSES):
+            rows = slice(ends[c], ends[c + 1])
+            if ends[c] < ends[c + 1]:
+                p[rows] = _picked(h[rows] @ wo[c], within[rows])
+        for i in range(0, len(h), CHUNK):
+            rows = slice(i, i + CHUNK)
+            p[rows] *= _picked(h[rows] @ wc, kind[rows])
+    out = np.empty(len(h))
+    out[order] = np.log10(np.maximum(p, 1e-300))
+    return out
 
 
 def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
@@ -201,82 +205,135 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def train_window(net: Network, grad: Network, h: np.ndarray, words: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradients of one window (time x documents) into ``grad``; the state after it and the mean loss (nats)."""
-    steps = []
-    first = h
-    for t in range(len(words)):
-        x, y = net.emb[words[t]] @ net.wx + net.b, h @ net.wh
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + y[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        new = np.tanh(x[:, 2 * HIDDEN :] + r * y[:, 2 * HIDDEN :])
-        steps.append((h, z, r, new, y[:, 2 * HIDDEN :]))
-        h = np.where(valid[t][:, None], new + z * (h - new), h)
-    states = np.stack([first, *(s[0] for s in steps[1:])])
+def train_window(net: Network, grad: Network, h: np.ndarray, words: np.ndarray, valid: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Gradients of one window (time x lanes) into ``grad``; the state after it and the mean loss (nats).
+
+    ``begins`` marks the first tokens of documents: their state starts from zero.
+    """
+    n_steps, width = len(words), 3 * HIDDEN
+    fresh = begins.any(axis=1) if begins is not None else np.zeros(n_steps, bool)
+    full = valid.all(axis=1)
+    word = words.ravel()
+    sign = np.repeat(np.array([-1, 1], h.dtype), [2 * HIDDEN, HIDDEN])  # gates are 1 / (1 + exp(-x))
+    table = (net.emb[word] @ (net.wx * sign) + net.b * sign).reshape(*words.shape, width)
+    wh = net.wh * sign
+    states, news = np.empty((2, *words.shape, HIDDEN), h.dtype)
+    gates, ys = np.empty((*words.shape, 2 * HIDDEN), h.dtype), np.empty(table.shape, h.dtype)
+    for t in range(n_steps):
+        if fresh[t]:
+            h = np.where(begins[t][:, None], 0, h)
+        states[t] = h
+        x, y, e, new = table[t], np.matmul(h, wh, out=ys[t]), gates[t], news[t]
+        np.add(x[:, : 2 * HIDDEN], y[:, : 2 * HIDDEN], out=e)
+        np.exp(e, out=e)
+        e += 1
+        np.reciprocal(e, out=e)
+        np.multiply(e[:, HIDDEN:], y[:, 2 * HIDDEN :], out=new)
+        new += x[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        after = h - new
+        after *= e[:, :HIDDEN]
+        after += new
+        h = after if full[t] else np.where(valid[t][:, None], after, h)
+    # The output: rows in the order of their classes, so that a class is one product and all share the rest.
     at = np.flatnonzero(valid.ravel())
-    hs, target = states.reshape(-1, HIDDEN)[at], words.ravel()[at]
-    n = max(1, len(at))
-    p = _softmax(hs @ net.wc + net.bc)
-    kind = target // PER_CLASS
-    loss = -np.log(np.maximum(p[np.arange(len(at)), kind], 1e-30)).sum()
-    p[np.arange(len(at)), kind] -= 1
-    grad.wc += hs.T @ p / n
-    grad.bc += p.sum(0) / n
+    at = at[np.argsort((word[at] // PER_CLASS).astype(np.int16), kind="stable")]
+    (kind, within), own, n = np.divmod(word[at], PER_CLASS), np.arange(len(at)), max(1, len(at))
+    hs = np.ones((len(at), HIDDEN + 1), h.dtype)  # the last column carries the biases
+    hs[:, :HIDDEN] = states.reshape(-1, HIDDEN)[at]
+    wo = np.concatenate([net.wo, net.bo[:, None]], axis=1)
+    p = _softmax(hs @ np.concatenate([net.wc, net.bc[None]]))
+    q = np.empty((len(at), PER_CLASS), h.dtype)
+    ends = np.searchsorted(kind, np.arange(CLASSES + 1))
+    used = [(c, slice(ends[c], ends[c + 1])) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+    for c, rows in used:
+        np.matmul(hs[rows], wo[c], out=q[rows])
+    _softmax(q)
+    loss = -(np.log(np.maximum(p[own, kind], 1e-30)).sum() + np.log(np.maximum(q[own, within], 1e-30)).sum())
+    p[own, kind] -= 1
+    q[own, within] -= 1
+    hs /= n
+    g = hs.T @ p
+    grad.wc += g[:HIDDEN]
+    grad.bc += g[HIDDEN]
     dh_out = p @ net.wc.T
-    for c, rows in _by_class(target):
-        x = hs[rows]
-        q = _softmax(x @ net.wo[c] + net.bo[c])
-        own = np.arange(len(rows)), target[rows] % PER_CLASS
-        loss -= np.log(np.maximum(q[own], 1e-30)).sum()
-        q[own] -= 1
-        grad.wo[c] += x.T @ q / n
-        grad.bo[c] += q.sum(0) / n
-        dh_out[rows] += q @ net.wo[c].T
-    out = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
-    out[at] = dh_out / n
+    for c, rows in used:
+        g = hs[rows].T @ q[rows]
+        grad.wo[c] += g[:HIDDEN]
+        grad.bo[c] += g[HIDDEN]
+        dh_out[rows] += q[rows] @ net.wo[c].T
+    dh_out /= n
+    out = np.zeros((len(word), HIDDEN), h.dtype)
+    out[at] = dh_out
     out = out.reshape(states.shape)
+    # Back through time: what reaches a step's inputs is its dh times `by`; the weights' products are made once.
+    z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
+    by = np.empty((*words.shape, 4, HIDDEN), h.dtype)  # of new by x, z, r, new by y
+    by[..., 0, :] = (1 - z) * (1 - news * news)
+    by[..., 1, :] = (states - news) * z * (1 - z)
+    by[..., 2, :] = by[..., 0, :] * ys[..., 2 * HIDDEN :] * r * (1 - r)
+    by[..., 3, :] = by[..., 0, :] * r
+    if not full.all():
+        by[~valid] = 0
+        z[~valid] = 1
+    flat = by.reshape(*words.shape, 4 * HIDDEN)
+    back = np.ascontiguousarray(net.wh.T)
     dh = np.zeros_like(h)
-    for t in reversed(range(len(words))):
-        before, z, r, new, yn = steps[t]
-        on = valid[t][:, None]
-        dnew, dz = dh * (1 - z), dh * (before - new)
-        dn = np.where(on, dnew * (1 - new * new), 0)
-        dzr = np.concatenate([dz * z * (1 - z), dn * yn * r * (1 - r)], axis=1)
-        dzr = np.where(on, dzr, 0)
-        dx = np.concatenate([dzr, dn], axis=1)
-        dy = np.concatenate([dzr, dn * r], axis=1)
-        grad.b += dx.sum(0)
-        grad.wx += net.emb[words[t]].T @ dx
-        grad.wh += before.T @ dy
-        np.add.at(grad.emb, words[t], dx @ net.wx.T)
-        dh = np.where(on, dh * z, dh) + dy @ net.wh.T + out[t]
+    for t in reversed(range(n_steps)):
+        by[t] *= dh[:, None]
+        dh = dh * z[t]
+        dh += flat[t, :, HIDDEN:] @ back
+        dh += out[t]
+        if fresh[t]:
+            dh[begins[t]] = 0
+    flat = flat.reshape(-1, 4 * HIDDEN)
+    grad.wh += states.reshape(-1, HIDDEN).T @ flat[:, HIDDEN:]
+    order = np.argsort(word.astype(np.int16), kind="stable")
+    ordered = word[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    seen, sums = ordered[first], np.add.reduceat(flat[order, :width], first, axis=0)
+    sums = np.roll(sums, -HIDDEN, axis=1)  # z, r, new, as in wx
+    grad.b += sums.sum(0)
+    grad.wx += net.emb[seen].T @ sums
+    grad.emb[seen] += sums @ net.wx.T
     return h, loss / n
 
 
-def train(net: Network, docs: list[np.ndarray], rate: float = RATE) -> float:
-    """Adagrad over truncated windows, batch by batch of documents; the mean loss."""
-    squares = np.full(len(net.flat), 1e-6, np.float32)
+def _lanes(docs: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """The documents dealt to at most ``BATCH`` lanes of much the same length, longest lane first; whole, in their own order within a lane."""
+    lanes: list[list[int]] = [[] for _ in range(min(BATCH, len(docs)))]
+    heap = [(0, k) for k in range(len(lanes))]
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        size, k = heap[0]
+        lanes[k].append(i)
+        heapq.heapreplace(heap, (size + len(docs[i]), k))
+    return [[docs[i] for i in sorted(lanes[k])] for _, k in sorted(heap, reverse=True)]
+
+
+def train(net: Network, docs: list[np.ndarray], squares: np.ndarray, rate: float = RATE) -> float:
+    """Adagrad over truncated windows of lanes of documents; the mean loss.  ``squares`` goes on from call to call."""
     total, windows = 0.0, 0
-    docs = sorted(docs, key=len, reverse=True)
-    for i in range(0, len(docs), BATCH):
-        some = docs[i : i + BATCH]
-        size = np.array([len(d) for d in some])
-        words = np.zeros((int(size.max()), len(some)), np.int64)
-        for j, d in enumerate(some):
-            words[: len(d), j] = d
-        h = np.zeros((len(some), HIDDEN), np.float32)
-        for t in range(0, len(words), WINDOW):
-            n = int((size > t).sum())
-            part = words[t : t + WINDOW, :n]
-            valid = (np.arange(t, t + len(part))[:, None] < size[None, :n])
-            grad = Network(np.zeros_like(net.flat))
-            h, loss = train_window(net, grad, h[:n], part, valid)
-            norm = float(np.sqrt((grad.flat**2).sum()))
-            if norm > 1:
-                grad.flat /= norm
-            squares += grad.flat**2
-            net.flat -= rate * grad.flat / np.sqrt(squares)
-            total, windows = total + loss, windows + 1
+    lanes = _lanes(docs)
+    size = np.array([sum(map(len, lane)) for lane in lanes])
+    words = np.zeros((int(size.max()), len(lanes)), np.int64)
+    begins = np.zeros(words.shape, bool)
+    for j, lane in enumerate(lanes):
+        words[: size[j], j] = np.concatenate(lane)
+        begins[np.cumsum([0, *map(len, lane[:-1])]), j] = True
+    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    grad = Network(np.zeros_like(net.flat))
+    for t in range(0, len(words), WINDOW):
+        n = int((size > t).sum())
+        part = words[t : t + WINDOW, :n]
+        valid = np.arange(t, t + len(part))[:, None] < size[None, :n]
+        grad.flat[:] = 0
+        h, loss = train_window(net, grad, h[:n], part, valid, begins[t : t + WINDOW, :n])
+        norm = math.sqrt(grad.flat @ grad.flat)
+        if norm > 1:
+            grad.flat /= norm
+        squares += grad.flat**2
+        net.flat -= rate * grad.flat / np.sqrt(squares)
+        total, windows = total + loss, windows + 1
     return total / max(1, windows)
 
 
@@ -284,7 +341,8 @@ def train(net: Network, docs: list[np.ndarray], rate: float = RATE) -> float:
 
 
 def _numbered(text: bytes | None, ids: dict[bytes, int]) -> np.ndarray:
-    return np.array([ids.get(w, WORDS) for w in tokens(text)], np.int64)
+    words = tokens(text)
+    return np.fromiter(map(ids.get, words, repeat(WORDS)), np.int64, len(words))
 
 
 def _trained(texts: DataFrame, net: Network, ids: dict[bytes, int]) -> Network:
@@ -294,10 +352,18 @@ def _trained(texts: DataFrame, net: Network, ids: dict[bytes, int]) -> Network:
 
     def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, known = shared.value
-        docs = [_numbered(t, known) for b in it for t in byte_rows(b, "text")]
+        own, squares, n = Network(flat.copy()), np.full(len(flat), 1e-6, np.float32), 0
+        docs, held = [], 0
+        for b in batches_of(it, SCORE_BYTES, "text"):
+            docs += [_numbered(t, known) for t in byte_rows(b, "text")]
+            held = sum(map(len, docs))
+            if held >= TRAIN_TOKENS:
+                train(own, docs, squares)
+                docs, held, n = [], 0, n + held
         if docs:
-            own, n = Network(flat.copy()), sum(map(len, docs))
-            train(own, docs)
+            train(own, docs, squares)
+            n += held
+        if n:
             rows = [(own.flat[i * CHUNK : (i + 1) * CHUNK] * np.float32(n)).tobytes() for i in range(parts)]
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([zlib.crc32(rows[0]) % 16] * parts, pa.int32()), pa.array([float(n)] * parts, pa.float64()), pa.array(rows, pa.binary())], ["part", "salt", "n", "w"])
 
@@ -333,7 +399,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataF
     unigrams[WORDS] = total - inside
     net = Network.start(unigrams)
     for r in range(ROUNDS):
-        some = learn.filter(F.pmod(F.xxhash64(id_col), F.lit(SHARE * ROUNDS)) == r).select("text")
+        some = learn.filter(F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)) == r).select("text")
         net = _trained(some, net, ids)
     # log10 of: count smoothing for the base; the share of an unlisted word among the unlisted.
     logs = np.log10(np.array([known[w] for w in by_count], np.float64) + 0.1)
@@ -360,7 +426,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataF
         for b in batches_of(it, SCORE_BYTES, "text"):
             for t in byte_rows(b, "text"):
                 all_ = tokens(t)
-                at = np.array([place(w, -1) for w in all_], np.int64)
+                at = np.fromiter(map(place, all_, repeat(-1)), np.int64, len(all_))
                 found = at[at >= 0]
                 own = logs[found]
                 rare = [all_[i] for i in np.flatnonzero(at < 0)] if len(found) < len(at) else []

@@ -154,6 +154,38 @@ def test_lm_edges(edge, repeated, empty):
     assert lm_scores(repeated).count() == 7 and lm_scores(empty).count() == 0
 
 
+def test_lm_trains_on_every_training_document(small, edge, repeated, monkeypatch):
+    from rillflow.llm import lm
+
+    for df in (small, edge, repeated):
+        rounds, trained = [], lm._trained
+        monkeypatch.setattr(lm, "_trained", lambda texts, net, ids: (rounds.extend(r.text for r in texts.collect()), net)[1])
+        lm_scores(df)
+        monkeypatch.setattr(lm, "_trained", trained)
+        assert Counter(rounds) == Counter(r.text for r in df.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10)
+
+
+def test_lm_lanes_hold_whole_documents():
+    """Documents in lanes have the gradients and losses they have alone; several calls train on all of them."""
+    from rillflow.llm import lm
+
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 50, n) for n in (4, 1, 7, 2)]
+    lanes = lm._lanes(docs * 100)
+    assert len(lanes) == lm.BATCH and Counter(d.tobytes() for lane in lanes for d in lane) == Counter(d.tobytes() for d in docs * 100)
+    net = Network(rng.normal(0, 0.3, Network.size()))
+    one, apart, loss = Network(np.zeros_like(net.flat)), Network(np.zeros_like(net.flat)), 0
+    zero = np.zeros((1, lm.HIDDEN))
+    for d in docs:
+        grad = Network(np.zeros_like(net.flat))
+        loss += train_window(net, grad, zero, d[:, None], np.ones((len(d), 1), bool))[1] * len(d)
+        apart.flat += grad.flat * len(d)
+    begins = np.zeros((14, 1), bool)
+    begins[[0, 4, 5, 12]] = True
+    _, mean = train_window(net, one, zero, np.concatenate(docs)[:, None], np.ones((14, 1), bool), begins)
+    assert np.allclose(one.flat * 14, apart.flat, atol=1e-9) and abs(mean * 14 - loss) < 1e-9
+
+
 def test_network_gradient_and_normalisation():
     rng = np.random.default_rng(1)
     net = Network(rng.normal(0, 0.3, Network.size()))
