@@ -5,8 +5,9 @@ in one shard are alike, so the propagation moves counts: a cell is (group,
 shard, how many).  It starts from a hash of the id.  In every round each cell
 looks at its neighbours' shards and asks to move to the one holding most of
 its group among those with room; a shard that is asked for more than its
-quota lets in the same fraction of everyone.  Rounds end when a round moves
-next to nothing, or at ``ROUNDS``.
+quota lets in the same fraction of everyone.  Rounds end when no cell asks to
+move.  They do end: a move goes to a cell of the group no smaller than its own
+or brings the whole group together, so the squares of the counts only grow.
 
 Documents then take their cell's shard.  Unlinked documents have no neighbour
 and fill what is left, so the law ``rows`` holds exactly: shard sizes differ
@@ -20,21 +21,23 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut
+from rillflow.llm.common import cut, drop_cut
 
 SHARDS = 24
-ROUNDS = 10
 BUCKET_ROWS = 20_000
 LEAST_BUCKETS = 256
+FINE = 2**53
 
 
-def propagate(groups: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(groups: DataFrame, shards: int, capacity: int) -> DataFrame:
     """Cells (g, shard, cnt) after balanced label propagation; ``groups`` has one such row per group and first shard."""
     cells = groups
-    for r in range(rounds):
+    for r in itertools.count():
         load = {x.shard: x.n for x in cells.groupBy("shard").agg(F.sum("cnt").alias("n")).collect()}  # at most `shards` rows
         room = [max(0, capacity - load.get(s, 0)) for s in range(shards)]
         free = F.array(*[F.lit(x) for x in room])
@@ -47,18 +50,19 @@ def propagate(groups: DataFrame, shards: int, capacity: int, rounds: int = ROUND
         want = cells.join(best, "g").withColumns({"to": to, "more": F.when(meets, F.col("all")).otherwise(F.col("best.cnt"))})
         asks = F.col("to").isNotNull() & (F.col("to") != F.col("shard")) & ((F.col("more") > F.col("cnt")) | ((F.col("more") == F.col("cnt")) & (F.col("to") < F.col("shard"))))
         want = want.withColumn("asks", F.coalesce(asks, F.lit(False)))
+        want = want.withColumn("meets", meets)
         demand = {x["to"]: x.n for x in want.filter("asks").groupBy("to").agg(F.sum("cnt").alias("n")).collect()}
+        if not demand:
+            return cells
         share = F.array(*[F.lit(min(1.0, room[s] / demand[s]) if demand.get(s) else 0.0) for s in range(shards)])
-        chance = F.expr(f"pmod(xxhash64(g, shard, {r}), 1048576) / 1048576D")
-        moved = F.when(F.col("asks"), F.least(F.col("cnt"), F.floor(F.col("cnt") * F.get(share, F.col("to")) + chance).cast("long"))).otherwise(0)
+        # A group that meets goes as a whole or not at all.
+        chance, whole = (F.expr(f"pmod(xxhash64({x}, {r}), {FINE}L) / {FINE}D") for x in ("g, shard", "g"))
+        moved = F.when(F.col("asks") & F.col("meets"), F.when(whole < F.get(share, F.col("to")), F.col("cnt")).otherwise(0)).when(F.col("asks"), F.least(F.col("cnt"), F.floor(F.col("cnt") * F.get(share, F.col("to")) + chance).cast("long"))).otherwise(0)
         want = want.withColumn("moved", moved)
-        both = want.select("g", F.explode(F.array(F.struct("shard", (F.col("cnt") - F.col("moved")).alias("cnt"), F.lit(0).cast("long").alias("came")), F.struct(F.coalesce("to", "shard").alias("shard"), F.col("moved").alias("cnt"), F.col("moved").alias("came")))).alias("c"))
-        cells = cut(both.filter("c.cnt > 0").groupBy("g", F.col("c.shard").alias("shard")).agg(F.sum("c.cnt").alias("cnt"), F.sum("c.came").alias("came")))
-        total = cells.agg(F.sum("cnt").alias("n"), F.sum("came").alias("moved")).first()
-        cells = cells.select("g", "shard", "cnt")
-        if not total.n or total.moved * 1000 < total.n:
-            break
-    return cells
+        both = want.select("g", F.explode(F.array(F.struct("shard", (F.col("cnt") - F.col("moved")).alias("cnt")), F.struct(F.coalesce("to", "shard").alias("shard"), F.col("moved").alias("cnt")))).alias("c"))
+        last, cells = cells, cut(both.filter("c.cnt > 0").groupBy("g", F.col("c.shard").alias("shard")).agg(F.sum("c.cnt").alias("cnt")))
+        if r:
+            drop_cut(last)
 
 
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id") -> DataFrame:

@@ -71,6 +71,15 @@ def test_sharding(spark, edge, repeated, empty):
     assert sum(len(w) > 1 for t, w in where.items() if t != "hot") <= 10 and len(where["hot"]) <= 4
 
 
+def test_sharding_goes_on_past_a_hot_group(spark):
+    rows = [(i, "hot") for i in range(2000)] + [(6000 + 6 * g + j, f"group {g}") for g in range(300) for j in range(6)] + [(60000 + i, f"single {i}") for i in range(2200)]
+    out, texts = check_shards(spark.createDataFrame(rows, "doc_id long, text string"))
+    where = {}
+    for r in out:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(w) > 1 for t, w in where.items() if t != "hot") <= 12
+
+
 # --- 6 ---
 
 
