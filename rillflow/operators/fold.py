@@ -78,12 +78,15 @@ def running_sum_in_buckets(df: DataFrame, value: Column, width: int, key: str =
 
     A key's order is cut into buckets of ``width``; buckets are summed before
     they are shuffled, a bucket's rows start from the sum of those before, and
-    no task holds more than a bucket's rows.
+    no task holds more than a bucket's rows.  Null keys and null orders are
+    values like others; a null order comes first.
     """
     df = df.withColumns({"_bucket": F.floor(F.col(order) / width), "_value": value})
     sums = df.groupBy(key, "_bucket").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(key, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    sums = sums.select(F.col(key).alias("_key"), F.col("_bucket").alias("_of"), F.sum("_sum").over(before).alias("_before"))
     inside = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn(name, F.sum("_value").over(inside)).join(sums, [key, "_bucket"])
-    return out.withColumn(name, F.coalesce(name, F.lit(0)) + F.col("_before")).drop("_bucket", "_value", "_before")
+    out = df.withColumn(name, F.sum("_value").over(inside))
+    columns = [key, *(c for c in out.columns if c not in (key, "_bucket", "_value"))]
+    out = out.join(sums, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of")))
+    return out.withColumn(name, F.coalesce(F.col(name) + F.col("_before"), name, "_before")).select(*columns)

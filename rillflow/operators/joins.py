@@ -34,7 +34,8 @@ def join_asof_in_buckets(stream: DataFrame, changelog: DataFrame, width: int, *c
 
     A key's order is cut into buckets of ``width``; the last change of each
     bucket is aggregated before it is shuffled and carried into later ones, so
-    no task holds more than a bucket's rows.
+    no task holds more than a bucket's rows.  Null keys and null orders are
+    values like others; a null order comes first.
     """
     columns = columns or ("value",)
     change = F.struct(*[F.col(c).alias(c) for c in columns])
@@ -43,12 +44,13 @@ def join_asof_in_buckets(stream: DataFrame, changelog: DataFrame, width: int, *c
     left = stream.withColumns({"_side": F.lit(1), "_change": F.lit(None).cast(kind), "_bucket": bucket})
     right = changelog.select(key, order, F.lit(0).alias("_side"), change.alias("_change"), bucket.alias("_bucket"))
     last = left.select(key, "_bucket", order, "_change").unionByName(right.select(key, "_bucket", order, "_change"))
-    last = last.groupBy(key, "_bucket").agg(F.max_by("_change", F.when(F.col("_change").isNotNull(), F.col(order))).alias("_last"))
+    last = last.groupBy(key, "_bucket").agg(F.max_by("_change", F.when(F.col("_change").isNotNull(), F.struct(order))).alias("_last"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.select(key, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    last = last.select(F.col(key).alias("_key"), F.col("_bucket").alias("_of"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     both = left.unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy(key, "_bucket").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("_change", F.last("_change", ignorenulls=True).over(w)).filter("_side = 1").join(last, [key, "_bucket"])
+    both = both.withColumn("_change", F.last("_change", ignorenulls=True).over(w)).filter("_side = 1")
+    both = both.join(last, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of")))
     found = F.coalesce("_change", "_carried")
     return both.withColumn("_change", found).select(*stream.columns, *[F.col(f"_change.{c}").alias(f"{prefix}{c}") for c in columns])
 

@@ -1,12 +1,14 @@
 """A stream cut into any micro-batches gives what the batch gives; sinks."""
 
 import os
+from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rillflow.functions.codec import Int64
+from rillflow.operators import fold, joins
 from rillflow.plans.graph import Input, Join, Output, Persist, define_group
 from rillflow.plans.options import ProcessorOptions
 from rillflow.sources import sinks
@@ -76,3 +78,15 @@ def test_sinks(spark, tmp_path):
     sinks.write_store(rows, lambda: FileStore(path))
     assert os.listdir(path) == ["a"] and (tmp_path / "store" / "a").read_bytes() == b"y"
     assert sinks.namespaced("n", "t", 3) == "n:t:3"
+
+
+def test_bucketed_forms_keep_null_keys_and_orders(spark):
+    rows = [(k, o, None if o == 7 or k == "c" else (o or 5) * 3) for k in ("a", None, "c") for o in (None, 0, 3, 7, 12, 31)]
+    df = spark.createDataFrame(rows, "key string, offset long, v long")
+    counted = lambda x: Counter(tuple(r) for r in x.select("key", "offset", "value").collect())
+    want = counted(df.withColumn("value", fold.running_sum(F.col("v"), fold.history())))
+    assert counted(fold.running_sum_in_buckets(df, F.col("v"), 10)) == want and sum(want.values()) == len(rows)
+    changelog = spark.createDataFrame([("a", None, 1), (None, None, 2), (None, 12, None), ("c", 3, 4), ("c", 30, 5)], "key string, offset long, value long")
+    counted = lambda x: Counter(tuple(r) for r in x.collect())
+    want = counted(joins.join_asof(df, changelog))
+    assert counted(joins.join_asof_in_buckets(df, changelog, 10)) == want and sum(want.values()) == len(rows)
