@@ -4,16 +4,18 @@ A window is ``size`` consecutive words of an item (an item of fewer words is
 one window); it is the set of its word shingles with their places.  All its
 shingles must occur in a document, so one is enough as prefix: its rarest.
 
-1. Documents' shingle hashes are joined with the windows' (one scan of the
-   texts); each hit keeps the words around it, up to a window either side.
-2. Hits are counted per shingle; a window with a shingle that never occurs is
-   done, the others are ordered by rarity and join by their rarest shingle.
+1. Rarity: one scan counts, per shingle of the windows, its places in the
+   documents; nothing but the hash moves, added up before it does.
+2. A window with a shingle that never occurs is done; the others are ordered by
+   rarity and join by their rarest shingle alone, in a second scan.
 3. The shingle's place in the window gives the start; starts before the text
    or windows past its end fall to the position and length bounds, and the
-   words kept with the hit are compared with the window's: exact containment.
+   words around the hit are compared with the window's: exact containment.
 
-The windows' shingles are broadcast up to ``BROADCAST`` of them (checked), and
-joined by shuffle beyond that.
+Either scan meets a sieve first: the wanted hashes as bits of ``SLOTS`` rows at
+most, which are broadcast.  What falls through joins the wanted shingles
+themselves, broadcast up to ``BROADCAST`` of them (checked), by shuffle beyond.
+So whatever the benchmark's size, words move only for places of prefixes.
 
 Defined cases: null texts have no words, items without words no windows;
 repeated rows get the same result each; items with equal windows all count;
@@ -30,6 +32,7 @@ from rillflow.llm.common import cut
 WORD_SIZE = 10
 SHINGLE = 3
 BROADCAST = 500_000
+SLOTS = 1 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,12 +42,6 @@ def words(text: str) -> Column:
     return F.coalesce(F.array_remove(F.split(F.translate(text, UPPER, LOWER), SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def _shingles(w: str, k: int) -> str:
-    """SQL: hashes of every k consecutive words of array ``w``."""
-    parts = ", ".join(f"get({w}, i + {j})" for j in range(k))
-    return f"transform(sequence(0, size({w}) - {k}), i -> xxhash64({parts}))"
-
-
 def windows(items: DataFrame, size: int = WORD_SIZE, id_col: str = "item_id") -> DataFrame:
     """Per item and distinct window: item, words, n, wid (a hash of the words)."""
     w = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words("text").alias("w")).filter("size(w) > 0")
@@ -52,31 +49,65 @@ def windows(items: DataFrame, size: int = WORD_SIZE, id_col: str = "item_id") ->
     return w.distinct().withColumns({"n": F.size("words"), "wid": F.sha2(F.concat_ws(" ", "words"), 256)})
 
 
+def _shingled(rows: DataFrame, w: str, k: int, at: str) -> DataFrame:
+    """The columns of ``rows`` with every place ``at`` of ``k`` consecutive words of ``w`` and their hash ``h``: all in generated code.
+
+    Short arrays have no place by a null sequence, not by a filter: that would be pushed below and split the texts a second time.
+    """
+    rows = rows.select("*", F.explode(F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k))).alias(at))
+    return rows.withColumn("h", F.xxhash64(F.lit(k), *[F.get(w, F.col(at) + j) for j in range(k)]))
+
+
+def _slot(h: str = "h") -> tuple[Column, Column]:
+    """A hash's row of the sieve and its bit there."""
+    return F.col(h).bitwiseAND(F.lit(SLOTS - 1)), F.shiftrightunsigned(h, 58).cast("int")
+
+
+def _sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``h`` may be among ``wanted`` (h, distinct): its bits, in ``SLOTS`` rows at most, are broadcast."""
+    slot, bit = _slot()
+    sieve = wanted.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, int(shiftrightunsigned(h, 58)))")).alias("bits"))
+    return rows.withColumn("slot", slot).join(F.broadcast(sieve), "slot").filter(F.getbit("bits", bit) == 1).drop("slot", "bits")
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """To be broadcast if ``n``, the number of rows, allows it."""
+    return F.broadcast(rows) if n <= BROADCAST else rows
+
+
 def occurrences(docs: DataFrame, wins: DataFrame, size: int = WORD_SIZE) -> DataFrame:
     """Per document row key and occurrence: doc, uid, start, n, wid.  ``docs`` has doc, uid, w."""
     keys = wins.select("wid", "words", "n").distinct().withColumn("k", F.least(F.lit(SHINGLE), "n"))
-    each = [keys.filter(F.col("k") == k).select("wid", "words", "n", "k", F.posexplode(F.expr(_shingles("words", k))).alias("o", "h")) for k in range(1, SHINGLE + 1)]
+    each = [_shingled(keys.filter(F.col("k") == k), "words", k, "o") for k in range(1, SHINGLE + 1)]
     shingles = cut(each[0].unionByName(each[1]).unionByName(each[2]))
-    distinct = shingles.select("k", "h").distinct()
-    sizes = {r.k: r.n for r in distinct.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
-    hits = None
+    wanted = cut(shingles.select("k", "h").distinct())
+    sizes = {r.k: r.n for r in wanted.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
+    if not sizes:
+        return docs.select("doc", "uid", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("wid")).filter("false")
+
+    def places(k: int, of: DataFrame) -> DataFrame:
+        """doc, uid, w, pos, h of the documents' shingles of ``k`` words that may be among ``of``."""
+        return _sieved(_shingled(docs.select("doc", "uid", "w"), "w", k, "pos"), of)
+
+    seen = None
     for k in sorted(sizes):
-        at = docs.filter(f"size(w) >= {k}").select("doc", "uid", "w", F.posexplode(F.expr(_shingles("w", k))).alias("pos", "h"))
-        want = distinct.filter(F.col("k") == k)
-        joined = at.join(F.broadcast(want) if sizes[k] <= BROADCAST else want, "h")
+        want = wanted.filter(F.col("k") == k).select("h")
+        part = places(k, want).groupBy("h").agg(F.count("*").alias("often")).join(_few(want, sizes[k]), "h", "left_semi").withColumn("k", F.lit(k))
+        seen = part if seen is None else seen.unionByName(part)
+    seen = cut(seen)
+    ranked = shingles.join(_few(seen, sum(sizes.values())), ["k", "h"], "left").groupBy("wid", "words", "n", "k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "o", "h")).alias("p"))
+    prefix = cut(ranked.filter("p.often > 0").select("wid", "words", "n", "k", F.col("p.o").alias("o"), F.col("p.h").alias("h")))
+    left = {r.k: r.n for r in prefix.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
+    found = None
+    for k in sorted(left):
+        own = prefix.filter(F.col("k") == k)
         first = F.greatest(F.col("pos") - (size - k), F.lit(0))
-        joined = joined.select("doc", "uid", "pos", "k", "h", first.alias("first"), F.slice("w", first + 1, F.lit(2 * size)).alias("around"))
-        hits = joined if hits is None else hits.unionByName(joined)
-    if hits is None:
-        return docs.select("doc", "uid", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("wid")).filter("false")
-    hits = cut(hits)
-    rarity = hits.groupBy("k", "h").agg(F.count("*").alias("often"))
-    ranked = shingles.join(rarity, ["k", "h"], "left").groupBy("wid", "words", "n", "k").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "o", "h")).alias("p"))
-    prefix = ranked.filter("p.often > 0").select("wid", "words", "n", "k", F.col("p.o").alias("o"), F.col("p.h").alias("h"))
-    prefix = F.broadcast(prefix) if sum(sizes.values()) <= BROADCAST // 10 else prefix
-    start = F.col("pos") - F.col("o")
-    found = hits.join(prefix, ["k", "h"]).filter(start >= 0).filter(F.slice("around", start - F.col("first") + 1, F.col("n")) == F.col("words"))
-    return found.select("doc", "uid", start.alias("start"), "n", "wid")
+        hits = places(k, own.select("h").distinct()).select("doc", "uid", "pos", "h", first.alias("first"), F.slice("w", first + 1, F.lit(2 * size)).alias("around"))
+        start = F.col("pos") - F.col("o")
+        part = hits.join(_few(own, left[k]), "h").filter(start >= 0).filter(F.slice("around", start - F.col("first") + 1, F.col("n")) == F.col("words"))
+        part = part.select("doc", "uid", start.alias("start"), "n", "wid")
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else docs.select("doc", "uid", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("wid")).filter("false")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WORD_SIZE, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
