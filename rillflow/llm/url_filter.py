@@ -1,7 +1,9 @@
 """URL filter: prefix rules first, then logistic regression on hashed character n-grams of host and path.
 
 The model is trained on the driver from the small labelled table below (its
-size is fixed), and its ``DIMENSIONS`` weights are broadcast.
+size is fixed, and it knows nothing of the tables to be judged), and its
+``DIMENSIONS`` weights are broadcast.  Its bias is set for a share ``PRIOR`` of
+unwanted urls.  Batches of urls are bounded in bytes.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased.  Path: from there up to ``?``, ``#`` or the end.  A url that is
@@ -13,6 +15,7 @@ judged each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,47 +23,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import mix64
+from rillflow.llm.common import batches_of, bounded_batches, mix64
 
 DIMENSIONS = 1 << 15
+BATCH_BYTES = 1_000_000
 GRAMS = (3, 4, 5)
 
 #: (pattern, verdict).  A rule is host + path.
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
-#: The labelled table: hosts with their paths, unwanted and wanted.
-UNWANTED = """
-www.free-bets.example.com/en/12 best-casino.example.net/win/4 casino-win.example.org/de/9 m.casino-win.example.com/fr/3
-cheap-pills.example.com/en/41 blog.cheap-pills.example.net/es/5 buy-pills-online.example.net/offer/2 ads-track.example.com/click/77
-m.ads-track.example.org/fr/18 adserver.example.net/banner/6 spam-farm.example.org/en/3 www.spam-farm.example.net/de/52
-adult-x.example.com/en/8 adult-cams.example.net/live/3 xxx-video.example.org/watch/9 free-bets.example.net/fr/20
-poker-bonus.example.com/join/1 slots-jackpot.example.net/play/7 payday-loans.example.org/apply/5 loan-fast.example.com/en/6
-replica-watches.example.net/shop/3 keygen-crack.example.org/dl/2 popup-ads.example.com/p/44 track-pixel.example.net/t/9
-win-prize.example.org/claim/1 hot-singles.example.com/chat/8 seo-links.example.net/buy/2 click-farm.example.org/en/31
-viagra-discount.example.com/en/2 betting-tips.example.net/de/7 free-casino.example.org/spin/3 bet-win.example.net/fr/8
-m.cheap-watches.example.com/buy/4 pills-shop.example.org/en/9 blog.spam-links.example.net/es/2 adult-video.example.org/watch/1
-track-ads.example.com/click/5 click-ads.example.net/banner/3 poker-win.example.org/play/6 casino-slots.example.com/bonus/2
-best-loan.example.net/apply/4 free-prize.example.com/claim/7 xxx-cams.example.net/live/8 hot-adult.example.org/chat/2
-crack-dl.example.com/keygen/1 replica-bags.example.org/shop/5 seo-spam.example.com/buy/9 popup-track.example.net/p/3
-discount-pills.example.net/offer/6 jackpot-bonus.example.org/join/4 fast-payday.example.com/loan/3 farm-click.example.net/en/8
-singles-chat.example.com/hot/7 betting-bets.example.org/tips/2
+#: The labelled table is made by a rule from these words: hosts of two words of one kind, in the same forms for both kinds.
+UNWANTED_WORDS = """
+casino casinos poker slots jackpot roulette bingo lottery bet bets betting sportsbook bonus win prize giveaway free cheap discount outlet
+pills viagra cialis pharma meds steroids loans payday cash forex crypto bitcoin ads adserver popup banner tracker track click pixel affiliate
+porn xxx sex adult cams webcam nude escort singles hot spam seo backlinks links followers farm crack keygen warez serials torrent replica rolex
 """.split()
-WANTED = """
-www.news.example.com/en/12 blog.thering.example.org/en/4 m.therat.example.com/fr/3 tionsh.example.net/en/41
-library.example.org/books/5 www.ththou.example.net/en/2 docs.example.net/guide/77 ththhe.example.com/de/18
-museum.example.org/history/6 blog.ththre.example.org/fr/3 university.example.net/course/52 weather.example.com/today/8
-www.therwh.example.org/es/3 recipes.example.net/soup/9 m.ththst.example.org/en/20 city-council.example.org/minutes/1
-garden-club.example.com/roses/7 blog.tionble.example.com/en/5 health.example.org/sleep/6 therhe.example.net/es/3
-travel.example.com/rome/2 science-daily.example.net/stars/44 www.theron.example.com/fr/9 chess.example.org/games/1
-ththly.example.org/de/8 music-school.example.net/piano/2 m.ththed.example.net/en/31 parks.example.com/trails/2
-blog.thered.example.com/en/7 open-data.example.org/maps/6 news-daily.example.net/en/3 science-library.example.org/books/8
-m.weather-maps.example.com/today/4 school-garden.example.net/roses/2 blog.therin.example.org/de/9 www.ththea.example.com/fr/5
-city-history.example.org/museum/1 university-docs.example.net/course/6 music-guide.example.com/piano/3 travel-parks.example.org/trails/7
-health-recipes.example.net/soup/2 www.thernd.example.com/es/8 m.ththan.example.net/en/12 ththor.example.org/en/6
-chess-club.example.com/games/4 daily-recipes.example.org/sleep/5 blog.ththti.example.net/fr/2 council-data.example.com/minutes/9
-garden-science.example.net/stars/1 www.ththing.example.org/de/3 therer.example.com/en/44 history-books.example.net/library/2
-www.thertion.example.net/es/6 open-news.example.com/guide/7
+WANTED_WORDS = """
+library museum gallery history science nature news journal times daily weather maps travel garden recipes kitchen music theatre school
+university college course docs developer code kernel data research health hospital clinic council city village park trails railway bridge river
+mountain farm dairy bakery books poetry language grammar physics chemistry astronomy biology chess cycling rowing football running yoga photo
+paint craft sewing charity church choir legal tax census energy solar winter window freedom tracks adverbs betterment crystal linker shop store
+open project forum wiki archive society institute observatory parliament teacher student family kids home house street bank union insurance
 """.split()
+PREFIXES = ("", "www.", "m.", "blog.")
+ENDINGS = (".com", ".org", ".net", ".de", ".fr", ".es", ".info")
+PATHS = ("/", "/en/{n}", "/de/{n}", "/fr/{n}.html", "/es/{n}/", "/shop/{n}", "/watch/{n}", "/{word}/{n}", "/wiki/{word}")
+
+
+def labelled(own: list[str], paths: list[str], rounds: int = 4) -> list[str]:
+    """``rounds`` names per word of ``own``: with another word of its kind and, in turn, each prefix, ending and form of path."""
+    out = []
+    for r in range(rounds):
+        for i, word in enumerate(own):
+            n = r * len(own) + i
+            other = own[(i * 7 + 11 * r + 3) % len(own)]
+            host = PREFIXES[(i + r) % len(PREFIXES)] + word + ("-" if n % 3 else "") + other + ENDINGS[(i + 3 * r) % len(ENDINGS)]
+            out.append(host + PATHS[(i + 5 * r) % len(PATHS)].format(n=n * 37 % 9000, word=paths[n % len(paths)]))
+    return out
+
+
+#: Paths hold words of both kinds on wanted hosts, so that an article about a trade isn't the trade.
+UNWANTED = labelled(UNWANTED_WORDS, UNWANTED_WORDS)
+WANTED = labelled(WANTED_WORDS, [w for pair in zip(WANTED_WORDS, UNWANTED_WORDS) for w in pair])
+#: Share of unwanted urls to expect: the bias is moved there from the table's own share, so that an unknown name is allowed.
+PRIOR = 0.2
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -106,21 +112,28 @@ def features(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram_all, np.searchsorted(at_all[order], end - size)
 
 
-def train(unwanted: list[str], wanted: list[str], rounds: int = 400, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
-    """Weights, the last one the bias: gradient descent on the mean log loss over n-gram frequencies."""
+def train(unwanted: list[str], wanted: list[str], rounds: int = 400, rate: float = 2.0, momentum: float = 0.95, decay: float = 1e-5, prior: float = PRIOR) -> np.ndarray:
+    """Weights, the last one the bias: gradient descent with momentum on the mean log loss over n-gram frequencies."""
     names = [x.encode() for x in (*unwanted, *wanted)]
     gram, start = features(names)
+    used, gram = np.unique(gram, return_inverse=True)
     length = np.diff([*start, len(gram)])
     row = np.repeat(np.arange(len(names)), length)
     scale = 1 / np.sqrt(length)[row]
     y = np.r_[np.ones(len(unwanted)), np.zeros(len(wanted))]
-    w = np.zeros(DIMENSIONS + 1)
+    w, step = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for _ in range(rounds):
         z = np.bincount(row, w[gram] * scale, len(names)) + w[-1]
         e = 1 / (1 + np.exp(-z)) - y
-        w[:-1] -= rate * (np.bincount(gram, e[row] * scale, DIMENSIONS) / len(names) + decay * w[:-1])
-        w[-1] -= rate * e.mean()
-    return w
+        step *= momentum
+        step[:-1] -= rate * (np.bincount(gram, e[row] * scale, len(used)) / len(names) + decay * w[:-1])
+        step[-1] -= rate * e.mean()
+        w += step
+    out = np.zeros(DIMENSIONS + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    own = len(unwanted) / len(names)
+    out[-1] += math.log(prior / (1 - prior)) - math.log(own / (1 - own))
+    return out
 
 
 def score(names: list[bytes], w: np.ndarray) -> np.ndarray:
@@ -134,11 +147,12 @@ def score(names: list[bytes], w: np.ndarray) -> np.ndarray:
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES, unwanted: list[str] = UNWANTED, wanted: list[str] = WANTED, id_col: str = "page_id", threshold: float = 0.5) -> DataFrame:
     """Per row: id, host, path, rule, verdict, block_score (the method's, for every row)."""
+    bounded_batches(pages.sparkSession)
     w = pages.sparkSession.sparkContext.broadcast(train(unwanted, wanted))
     ordered = sorted(rules, key=lambda r: -len(r[0]))
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in batches_of(it, BATCH_BYTES, "url"):
             parts = [split_url(u) for u in b.column("url").to_pylist()]
             p = score([f"{h}{x}".encode() for h, x in parts], w.value)
             found = [rule_of(h, x, ordered) for h, x in parts]
