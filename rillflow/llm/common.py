@@ -27,9 +27,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where it is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors of a cluster need a folder they share")
         base = getattr(spark, "_rillflow_shared", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="rillflow-")
@@ -59,6 +61,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, or what it becomes with underscores until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_rows(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return batch.column(column).cast(pa.binary()).to_pylist()

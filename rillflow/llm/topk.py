@@ -9,8 +9,11 @@ Its k largest rows are found from the most significant slice downward; the
 quantisation error bounds how far below the k-th sum an exact winner can be,
 and every row within that bound is scored exactly.
 
-Rows are dealt into blocks, queries into groups; a task holds one block and
-one group, both of bounded size, and returns k rows per query.
+Rows are dealt into blocks of bounded size.  A task builds a block's index
+once and lets all queries pass by it, batch by batch; it returns k rows per
+query.  So a row moves once, a query once per block.  Identical rows are added
+up first and stand for as many as could be among the k, so that copies of one
+row don't crowd a block.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do rows with a null id; rows bearing the query's
@@ -20,14 +23,17 @@ its own length only; identical rows with a query's id are one query.  Scores are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 32_768
-QUERIES = 4_096
-LEAST_TASKS = 12
+from rillflow.llm.common import bounded_batches
+
+BLOCK = 65_536
+LEAST_BLOCK, TASKS = 2_048, 12  # small tables are dealt into up to TASKS blocks of at least so many rows
 DROP = 2
 
 
@@ -149,17 +155,18 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
     ok = f"`{id_col}` is not null and `{vec_col}` is not null and size(`{vec_col}`) > 0 and forall(`{vec_col}`, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col)).filter(ok)
     rows = rows.select("id", F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-    sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("id") % query_every == 0).cast("long")), F.lit(0)).alias("q")).first()
-    blocks = max(1, -(-sizes.n // BLOCK))
-    groups = max(1, -(-sizes.q // QUERIES), -(-LEAST_TASKS // blocks))
-    left = rows.withColumns({"block": F.expr(f"pmod(xxhash64(id), {blocks})").cast("int"), "group": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
-    right = rows.filter(F.col("id") % query_every == 0).dropDuplicates(["id", "v"]).withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "group": F.expr(f"pmod(xxhash64(id, 1), {groups})").cast("int")})
+    rows = rows.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k + 1)).cast("int").alias("copies"))
+    total = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-total // BLOCK), min(TASKS, total // LEAST_BLOCK))
+    base = rows.withColumn("v_", F.explode(F.array_repeat("v", F.col("copies")))).select(F.expr(f"pmod(xxhash64(id, v), {blocks})").cast("int").alias("block"), F.lit(0).alias("side"), "id", F.col("v_").alias("v"))
+    queries = rows.filter(F.col("id") % query_every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "id", "v")
 
-    def arrays(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    def arrays(b: pa.RecordBatch | pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Ids and matrix, by vector length; ids in order."""
-        v = t.column("v").combine_chunks()
-        ids, size = t.column("id").to_numpy(), np.diff(v.offsets.to_numpy()) if len(v) else np.zeros(0, np.int64)
-        flat, start = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+        v = b.column("v")
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        ids, offsets = b.column("id").to_numpy(), v.offsets.to_numpy()
+        size, flat, start = np.diff(offsets), v.values.to_numpy(zero_copy_only=False), offsets[:-1]
         out = {}
         for n in np.unique(size):
             at = np.flatnonzero(size == n)
@@ -167,22 +174,36 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
             out[int(n)] = ids[at], flat[start[at][:, None] + np.arange(n)]
         return out
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            base = arrays(left)
-            for n, (ids, qs) in arrays(right).items():
-                if n not in base:
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by block, rows before queries: an index per vector length from the rows, then the queries as they come."""
+        block, held, index = None, [], {}
+        for whole in it:
+            number, side = whole.column("block").to_numpy(), whole.column("side").to_numpy()
+            edges = np.flatnonzero(np.diff(number.astype(np.int64) * 2 + side)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(number)], strict=True):
+                if lo == hi:
+                    continue
+                part = whole.slice(lo, hi - lo)
+                if number[lo] != block:
+                    block, held, index = number[lo], [], {}
+                if side[lo] == 0:
+                    held.append(part)
                     continue
-                index = SlicedIndex(base[n][1], base[n][0])
-                for own, q in zip(ids, qs, strict=True):
-                    found, score = index.search(q, own, k)
-                    out[0] += [own] * len(found)
-                    out[1] += found.tolist()
-                    out[2] += score.tolist()
-        return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
-
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(search, "query_id long, vec_id long, score long")
+                if held:
+                    index = {n: SlicedIndex(x, ids) for n, (ids, x) in arrays(pa.Table.from_batches(held)).items()}
+                    held = []
+                out: list[list] = [[], [], []]
+                for n, (ids, qs) in arrays(part).items():
+                    for own, q in zip(ids, qs, strict=True) if n in index else ():
+                        found, score = index[n].search(q, own, k)
+                        out[0] += [own] * len(found)
+                        out[1] += found.tolist()
+                        out[2] += score.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+
+    bounded_batches(vectors.sparkSession)
+    both = base.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "side")
+    found = both.mapInArrow(search, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
