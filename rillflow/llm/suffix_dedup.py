@@ -3,7 +3,7 @@
 Every byte that lies in a ``length``-byte string which also starts earlier
 (smaller id, or same text and earlier start) goes.
 
-Whole copies go first: a text that equals an earlier one (128-bit digest) is
+Whole copies go first: a text that equals an earlier one (by SHA-256) is
 covered altogether.  Getting other equal strings together: each window of ``length`` bytes is named by
 the least hash of its ``GRAM``-byte grams, so equal windows have equal names.
 Neighbouring windows mostly share their name; a maximal run of such windows is
@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import batches_of, bounded_batches, byte_rows, cut, mix64, release
+from rillflow.llm.common import batches_of, bounded_batches, byte_rows, cut, free_name, mix64, release
 
 LENGTH = 100
 GRAM = 32
 STRETCHES = 20_000
 BATCH_BYTES = 1_000_000
+HOT_NAMES = 65_536
 NAME_BYTES = 250_000  # small enough for the arrays to stay in cache
 BROADCAST_COPIES = 1_000_000
 
@@ -255,7 +256,7 @@ def _with_order(docs: DataFrame, id_col: str, others: list[str]) -> tuple[DataFr
         n = docs.agg(F.count("*").alias("rows"), F.count("id").alias("ids"), F.countDistinct("id").alias("distinct")).first()
         if n.rows == n.ids == n.distinct:
             return docs.withColumn("ord", F.col("id").cast("long")), docs.schema["id"].dataType.simpleString()
-    ordered = docs.orderBy(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text").withColumn("ord", F.monotonically_increasing_id())
+    ordered = docs.orderBy(F.col("id").asc_nulls_first(), "text").withColumn("ord", F.monotonically_increasing_id())
     return cut(ordered), docs.schema["id"].dataType.simpleString()
 
 
@@ -263,9 +264,17 @@ def _repeated_names(docs: DataFrame, copies: DataFrame, length: int) -> DataFram
     """Stretches (ord, start, windows, name) whose name occurs more than once, in another stretch or within (windows < 0 until then)."""
 
     def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All stretches; ``sure`` are those whose name this task has given out several times before."""
+        hot, recent, held = np.zeros(0, np.int64), [], 0
         for b in batches_of(it, NAME_BYTES, "text"):
             row, start, n, names, inner = stretches([t or b"" for t in byte_rows(b, "text")], length, GRAM)
-            yield pa.RecordBatch.from_arrays([b.column("ord").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(np.where(inner, -n, n).astype(np.int32)), pa.array(names)], ["ord", "start", "windows", "name"])
+            sure = hot[np.minimum(np.searchsorted(hot, names), len(hot) - 1)] == names if len(hot) else np.zeros(len(names), bool)
+            yield pa.RecordBatch.from_arrays([b.column("ord").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(np.where(inner, -n, n).astype(np.int32)), pa.array(names), pa.array(sure)], ["ord", "start", "windows", "name", "sure"])
+            recent.append(names[~sure])
+            held += len(recent[-1])
+            if held >= HOT_NAMES:
+                found, often = np.unique(np.concatenate(recent), return_counts=True)
+                hot, recent, held = np.union1d(hot, found[often >= 4])[:HOT_NAMES], [], 0
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by name: those with a neighbour of the same name; the last row waits for the next batch."""
@@ -282,18 +291,21 @@ def _repeated_names(docs: DataFrame, copies: DataFrame, length: int) -> DataFram
             often[1:] |= same
             often[:-1] |= same
             often[0] |= first
-            often |= b.column("windows").to_numpy() < 0
+            often |= (b.column("windows").to_numpy() < 0) | b.column("sure").to_numpy(zero_copy_only=False)
             out = np.flatnonzero(often[:-1])
             yield b.take(pa.array(out))
             held, repeats = b.slice(len(names) - 1, 1), bool(often[-1])
         if held is not None and repeats:
             yield held
 
-    rows = docs.select("ord", "text").mapInArrow(name, "ord long, start int, windows int, name long")
+    schema = "ord long, start int, windows int, name long, sure boolean"
+    rows = docs.select("ord", "text").mapInArrow(name, schema)
     few = copies.count() <= BROADCAST_COPIES
     rows = rows.join(F.broadcast(copies) if few else copies, "ord", "left_anti")
-    kept = rows.repartition("name").sortWithinPartitions("name").mapInArrow(keep, "ord long, start int, windows int, name long")
-    return cut(kept.withColumn("windows", F.abs("windows")))
+    # Stretches of a very common name are dealt by their place: the ones given out by name before tell the others of it.
+    to = F.when(F.col("sure"), F.xxhash64("ord", "start")).otherwise(F.col("name"))
+    kept = rows.repartition(to).sortWithinPartitions("name").mapInArrow(keep, schema)
+    return cut(kept.select("ord", "start", F.abs("windows").alias("windows"), "name"))
 
 
 PIECE = "name long, piece binary, windows int, ord long, start int"
@@ -353,7 +365,7 @@ def _finer(pieces: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _copies(docs: DataFrame, length: int) -> DataFrame:
     """(ord) of every text of ``length`` bytes or more that equals an earlier one."""
-    keys = docs.filter(F.octet_length("text") >= length).select("ord", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    keys = docs.filter(F.octet_length("text") >= length).select("ord", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"))
     firsts = keys.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
     return cut(keys.join(firsts, "key").filter("ord <> first").select("ord"))
 
@@ -445,15 +457,19 @@ def suffix_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return _each(docs, length, id_col, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", make)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, text without its repeated bytes (null stays null; bytes of a cut character go too), n_removed, other columns."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", count: str = "n_removed") -> DataFrame:
+    """Per row: id, text without its repeated bytes (null stays null; bytes of a cut character go too), the number removed as ``count``, other columns.
+
+    Where ``docs`` has a column ``count`` of its own, that one stays and the number gets the next free name (``n_removed_``).
+    """
+    count = free_name(docs.columns, count)
 
     def make(text: bytes | None, gone: np.ndarray | None) -> tuple[str | None, int]:
         if text is None or gone is None:
             return None if text is None else text.decode(), 0
         return np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"), int(gone.sum())
 
-    return _each(docs, length, id_col, "text string, n_removed bigint", make, [c for c in docs.columns if c not in (id_col, "text", "n_removed")])
+    return _each(docs, length, id_col, f"text string, {count} bigint", make, [c for c in docs.columns if c not in (id_col, "text")])
 
 
 SQL = """
