@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import batches_of, bounded_batches, cut
 
 CACHE_SIZE = 500_000
+CACHED_CHARS = 64  # longer runs aren't cached: a text without spaces is one
 BATCH_BYTES = 4_000_000
 _workers: dict = {}
 
@@ -174,19 +175,22 @@ class Ids(dict):
         ids = self.old.get(run)
         if ids is None:
             ids = np.array([x.id for x in self.merge(run.encode().decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-        self[run] = ids
+        if len(run) <= CACHED_CHARS:
+            if len(self) >= self.bound:
+                self.old = dict(self)
+                self.clear()
+            self[run] = ids
         return ids
 
     def odd(self, chunk: str) -> bytes:
         """Ids of a chunk as the tokenizer itself gives them."""
         ids = self.whole.get(chunk)
         if ids is None:
-            if len(self.whole) >= self.bound // 4:
-                self.whole.clear()
-            ids = self.whole[chunk] = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(chunk) <= CACHED_CHARS:
+                if len(self.whole) >= self.bound // 4:
+                    self.whole.clear()
+                self.whole[chunk] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:

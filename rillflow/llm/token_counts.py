@@ -28,6 +28,7 @@ from rillflow.llm.common import batches_of, bounded_batches, byte_rows, cut
 
 TABLE_SIZE = 65_536
 CACHE_SIZE = 400_000
+CACHED_CHARS = 64  # longer pre-tokens are neither counted as frequent nor cached: a text without spaces is one
 BATCH_BYTES = 4_000_000
 _workers: dict = {}
 
@@ -53,10 +54,11 @@ class Lengths(dict):
     def __missing__(self, word: str) -> int:
         # Only a space gives a piece its prefix; after a line feed there is none, so its token is taken off.
         n = len(self.encode(word)) - (word[0] == "\n")
-        if len(self) >= self.bound + len(self.known):
-            self.clear()
-            self.update(self.known)
-        self[word] = n
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= self.bound + len(self.known):
+                self.clear()
+                self.update(self.known)
+            self[word] = n
         return n
 
     def of(self, text: str) -> int:
@@ -74,7 +76,7 @@ def frequent_pretokens(docs: DataFrame, size: int = TABLE_SIZE) -> list[str]:
         for b in it:
             for t in b.column("text").to_pylist():
                 if t and (words := _pretokens(t)):
-                    seen.update(words)
+                    seen.update(words if max(map(len, words)) <= CACHED_CHARS else [w for w in words if len(w) <= CACHED_CHARS])
             if len(seen) > 16 * size:
                 seen = Counter(dict(seen.most_common(4 * size)))
         top = [x for x in seen.most_common(size) if x[1] > 1]
