@@ -12,11 +12,12 @@
    pair is dropped as soon as the posterior probability that its similarity
    reaches the threshold falls under ``MISS`` (uniform prior).
 4. Survivors are verified on their full sets; links give components.
-5. Classes joined by shared buckets are a cluster.  Where a cluster still holds
-   several components, those outside its largest are compared with all others
-   of the cluster, in blocks of bounded size: signatures first, survivors on
-   their full sets, a pair only while its two components are apart.  So no pair
-   of different components stays untested, and only links come out.
+5. Where a bucket still holds several components, its rows outside the largest
+   meet all its others in blocks of bounded size, each pair in the first bucket
+   that its two share.  Signatures go first, without texts; only rows with a
+   pair that they don't rule out are compared on their full sets, a pair only
+   while its two components are apart.  So no candidate pair of different
+   components stays untested, and only links come out.
 
 Defined cases: null, empty and blank texts have an empty set and no links; a
 text with fewer words than a shingle is one shingle; rows with a null id are
@@ -35,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import MIX, batches_of, bounded_batches, byte_rows, cut, drop_cut, mix64
+from rillflow.llm.common import MIX, batches_of, bounded_batches, byte_rows, cut, drop_cut, free_name, mix64
 from rillflow.llm.graph import components
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, HASHES)
 MISS = 1e-6
-BLOCK = 512
+BLOCK, SIGNATURE_BLOCK = 512, 2_048
+SHARE = 256
 BROADCAST_IDS = 500_000
 BATCH_BYTES = 4_000_000
 WORD_CACHE = 300_000
@@ -178,7 +180,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
             yield b.take(pa.array(keep, pa.int64())).select(["a", "b"])
         _hashes.clear()
 
-    joined = pairs.join(right, "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb")
+    # A class with very many pairs is dealt, with a copy of its text each, to as many tasks as SHARE of them make.
+    hot = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).filter("shares > 1"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    share = F.coalesce(F.pmod(F.xxhash64("b"), F.col("shares")), F.lit(0)).cast("int")
+    pairs = pairs.join(hot, "a", "left").select("a", "b", share.alias("share"))
+    left = left.join(hot, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+    joined = pairs.join(right, "b").join(left.hint("merge"), ["a", "share"]).select("a", "b", "ta", "tb")
     links = cut(joined.mapInArrow(check, "a long, b long"))
     drop_cut(texts)
     return links
@@ -188,54 +196,76 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
 
 
-def _across_components(placed: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, least: dict[int, int]) -> DataFrame:
-    """Links (a, b) between components of a cluster: what lies outside its largest meets all the rest, in blocks.
+def _blocks(placed: DataFrame, block: int) -> DataFrame:
+    """Rows of buckets with several components, dealt to groups of two sides that have to meet: band, number, kind, i, j, side, cid, comp.
 
-    ``placed`` has cid, cluster and comp; every cluster has several components.
+    Groups of a band: (0, i, j) two blocks of what lies outside the largest
+    component, (1, i, j) a block of that and one of the largest.
     """
-    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster")
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band")
     mixed = sizes.agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all")).filter("comps > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("cluster", F.col("main.comp").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("all") - F.col("main.n")).alias("rests"))
-    rows = placed.join(mixed, "cluster").withColumn("rest", F.col("comp") != F.col("main"))
+    number = lambda n: F.ceil(n / block).cast("int")
+    mixed = mixed.select("band", F.col("main.comp").alias("main"), number(F.col("main.n")).alias("mains"), number(F.col("all") - F.col("main.n")).alias("rests"))
+    rows = placed.join(mixed, "band").withColumn("rest", F.col("comp") != F.col("main"))
     rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(cid), if(rest, rests, mains)) as int)"))
-    # Groups: (0, i, j) two blocks of the rest, (1, i, j) a block of the rest and one of the main component.
     rest_rest = "transform(sequence(0, rests - 1), j -> struct(0 as kind, least(own, j) as i, greatest(own, j) as j, int(own > j) as side))"
     rest_main = "transform(sequence(0, mains - 1), j -> struct(1 as kind, own as i, j as j, 0 as side))"
     main_rest = "transform(sequence(0, rests - 1), j -> struct(1 as kind, j as i, own as j, 1 as side))"
-    rows = rows.withColumn("to", F.explode(F.expr(f"if(rest, concat({rest_rest}, {rest_main}), {main_rest})"))).select("cluster", "to.*", "cid", "comp")
-    members_ = cut(placed.join(mixed.select("cluster"), "cluster", "left_semi").select("cid"))
-    texts = cut(_texts(members_, classes, docs, k).join(sigs, "cid"))
-    rows = rows.join(texts, "cid")
+    return rows.withColumn("to", F.explode(F.expr(f"if(rest, concat({rest_rest}, {rest_main}), {main_rest})"))).select("band", "number", "to.*", "cid", "comp")
+
+
+def _candidates(t: pa.Table, percent: int, least: dict[int, int], comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A group's rows x with the rows y that may be linked with x: of another component, alike in size, and in no earlier bucket together."""
+    side, size = t.column("side").to_numpy(), t.column("size_").to_numpy()
+    sig, number = _signature_rows(t.column("sig")), t.column("number")[0].as_py()
+    same = t.column("kind")[0].as_py() == 0 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    right = np.arange(len(side)) if same else np.flatnonzero(side == 1)
+    for x in range(len(side)) if same else np.flatnonzero(side == 0):
+        y = right[right > x] if same else right
+        y = y[(comp[y] != comp[x]) & (np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent)]
+        if len(y):
+            y = y[may_link(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
+        if len(y):
+            equal = sig[y] == sig[x]
+            y, equal = (z[equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == number] for z in (y, equal))
+            yield x, y[np.argsort(-equal.sum(axis=1), kind="stable")]
+
+
+def _across_components(placed: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, least: dict[int, int]) -> DataFrame:
+    """Links (a, b) between components of a bucket.  ``placed`` has band, number, cid and comp."""
+
+    def alive(t: pa.Table) -> pa.Table:
+        """Rows with a pair that signatures don't rule out."""
+        found = np.zeros(t.num_rows, bool)
+        for x, y in _candidates(t, percent, least, t.column("comp").to_numpy()):
+            found[x] |= len(y) > 0
+            found[y] = True
+        return t.select(["band", "cid"]).filter(pa.array(found))
+
+    rows = _blocks(placed, SIGNATURE_BLOCK).join(sigs, "cid")
+    left = cut(rows.groupBy("band", "kind", "i", "j").applyInArrow(alive, "band long, cid long").distinct())
+    texts = cut(_texts(left.select("cid").distinct(), classes, docs, k).join(sigs, "cid"))
+    rows = _blocks(placed.join(left, ["band", "cid"], "left_semi"), BLOCK).join(texts, "cid")
 
     def across(t: pa.Table) -> pa.Table:
         """Links between components, until no pair of the group's two sides is both apart and untested."""
-        side, cid, comp_, size = (t.column(c).to_numpy() for c in ("side", "cid", "comp", "size_"))
-        sig, sets = _signature_rows(t.column("sig")), [None] * t.num_rows
-        text = t.column("text")
-        same = t.column("kind")[0].as_py() == 0 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        cid, sets, text = t.column("cid").to_numpy(), [None] * t.num_rows, t.column("text")
 
         def set_of(i: int) -> np.ndarray:
             if sets[i] is None:
                 sets[i] = shingle_sets([text[i].as_py().encode()], k)[0]
             return sets[i]
 
-        _, comp_ = np.unique(comp_, return_inverse=True)
+        _, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
         out = []
-        right = np.arange(len(cid)) if same else np.flatnonzero(side == 1)
-        for x in range(len(cid)) if same else np.flatnonzero(side == 0):
-            y = right[right > x] if same else right
-            y = y[(comp_[y] != comp_[x]) & (np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent)]
-            if not len(y):
-                continue
-            y = y[may_link(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
-            for z in y[np.argsort(-(sig[y] == sig[x]).sum(axis=1), kind="stable")]:
-                if comp_[z] != comp_[x] and _similar(set_of(x), set_of(z), percent):
-                    out.append((cid[x], cid[z]))
-                    comp_[comp_ == comp_[z]] = comp_[x]
+        for x, ys in _candidates(t, percent, least, comp):
+            for y in ys:
+                if comp[y] != comp[x] and _similar(set_of(x), set_of(y), percent):
+                    out.append((cid[x], cid[y]))
+                    comp[comp == comp[y]] = comp[x]
         return pa.table([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], ["a", "b"])
 
-    return cut(rows.groupBy("cluster", "kind", "i", "j").applyInArrow(across, "a long, b long"))
+    return cut(rows.groupBy("band", "kind", "i", "j").applyInArrow(across, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
@@ -266,9 +296,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
                 h = number.repeat(len(s), 0)
                 for r in range(ROWS):
                     h = mix64(h ^ s[:, :, r])
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(b.column("cid").to_numpy(), BANDS))], ["band", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), len(s))), pa.array(np.repeat(b.column("cid").to_numpy(), BANDS))], ["band", "number", "cid"])
 
-    bands = classes.select("cid", "sig").mapInArrow(band, "band long, cid long")
+    bands = classes.select("cid", "sig").mapInArrow(band, "band long, number byte, cid long")
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("cid").alias("first")).filter("size > 1")
     buckets = cut(bands.join(shared, "band"))
     sigs = classes.select("cid", "sig", F.col("n").alias("size_"))
@@ -301,18 +331,18 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
         links = links.unionByName(second)
         comp = components(links)
 
-    # Candidates whose components are still apart join these into clusters.
-    apart = cut(unresolved(comp).select("a", "b").distinct())
-    if not apart.isEmpty():
-        nodes = buckets.select("cid").distinct().join(comp, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
-        cluster = components(apart).select("node", F.col("comp").alias("cluster"))
-        placed = nodes.join(cluster, F.col("comp") == F.col("node")).select("cid", "cluster", "comp")
+    # Buckets whose components are still apart.
+    of = buckets.join(comp, F.col("cid") == F.col("node"), "left").select("band", "number", "cid", F.coalesce("comp", "cid").alias("comp"))
+    mixed = of.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
+    placed = cut(of.join(mixed, "band", "left_semi"))
+    if not placed.isEmpty():
         more = _across_components(placed, classes, sigs, docs, k, percent, least)
         if not more.isEmpty():
             comp = components(links.unionByName(more))
-    final = classes.select("key", "cid", "rep").join(comp, F.col("cid") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "cid").alias("comp"))
-    names = final.groupBy("comp").agg(F.min("rep").alias("component"))
-    final = final.join(names, "comp").select(F.col("key").alias("key_"), "component")
+    final = classes.select("key", "cid", "rep").join(comp, F.col("cid") == F.col("node"), "left").select(F.col("key").alias("key_"), "rep", "comp")
+    names = cut(final.filter("comp is not null").groupBy("comp").agg(F.min("rep").alias("component")))
+    few = names.count() <= BROADCAST_IDS
+    final = final.join(F.broadcast(names) if few else names, "comp", "left").select("key_", F.coalesce("component", "rep").alias("component"))
     done = members.select("id", "n", "key").join(final, (F.col("key") == F.col("key_")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "id")
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -324,7 +354,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     if n.rows == n.ids == n.distinct:
         key, rows = id_col, docs
     else:  # repeated or null ids: rows are told apart by a number of their own, in the order of ids
-        key = "_row"
+        key = free_name(docs.columns, "_row")
         rows = cut(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(key, F.monotonically_increasing_id()))
     gone = cut(near_duplicates(rows, k, percent, key).filter("not kept").select(key))
     few = gone.count() <= BROADCAST_IDS
