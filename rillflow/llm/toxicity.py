@@ -1,17 +1,22 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words are read as classes (insult, threat, target, negation, reported speech,
-other) and pass a cascade of finite-state transducers, composed once into one
+conjunction, other), marks as ends of clauses and sentences and as quotation
+marks; both pass a cascade of finite-state transducers, composed once into one
 table.  The composed machine scores a matched clause, not a word: an insult
-counts more with a target in its clause, little after a negation, less inside
-reported speech.
+counts more with a target anywhere in its clause, a threat only with one; both
+count little after a negation in the clause, less where they are reported:
+after a word of speech to its sentence's end, or in a quotation that a word of
+speech introduces or follows.  Clauses end at ``.!?;:``, at dashes, at
+quotation marks, at line breaks, and at commas before a conjunction.
 
 The insult words are learned from labels: words and word prefixes whose share
 of toxic documents is significant given how many were tried, then a greedy
 cover of the toxic documents, so that copies of one document do not fill the
-lexicon.  Labels are read from at most ``MAX_LABELLED`` training rows (lowest
-hashes first); the lexicon holds at most ``MAX_LEXICON`` entries, and both are
-all that is broadcast.
+lexicon, and what else a fiftieth of them show.  Labels are read from at most
+``MAX_LABELLED`` training rows (lowest hashes first), a documented bound on
+what the lexicon is fitted to; the lexicon is what that sample gives, without
+a cap of its own, and all that is broadcast.
 
 Defined cases: null and empty texts score as a text without a match; rows with
 a null id are scored, and belong to neither fold's training rows; repeated
@@ -33,20 +38,24 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import batches_of, bounded_batches, cut
 
 MAX_LABELLED = 20_000
-MAX_LEXICON = 1_024
 PREFIXES = (4, 5, 6, 7)
 FLOOR = 0.02  # score of a text without a match
 CACHE_SIZE = 200_000
+CACHED_CHARS = 64  # longer chunks are read anew each time
 BATCH_BYTES = 4_000_000
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
+OTHER, INSULT, THREAT, TARGET, PERSON, NEGATION, REPORTED, CONJUNCTION, COMMA, CLAUSE, SENTENCE, LINE, OPEN, CLOSE = range(14)
+SYMBOLS = 14
+WORD = range(COMMA)
 
 #: Closed word classes in the four languages of the corpora.
 WORDS = {
     THREAT: "kill hurt destroy murder stab töten umbringen verletzen tuer blesser détruire matar herir destruir",
-    TARGET: "you your you're yourself he she they him her them du dich dir ihr euch tu te toi vous tú te ti usted ustedes",
+    TARGET: "you your you're yourself him her them us du dich dir ihr euch ihn ihm tu te toi vous tú ti usted ustedes",
+    PERSON: "he she they er sie il elle ils elles él ella ellos",
     NEGATION: "not never no isn't aren't wasn't don't nicht kein keine nie pas jamais aucun nunca jamás tampoco",
     REPORTED: "said says wrote quoted reported claimed sagte schrieb behauptete disait écrit affirme dijo escribió afirmó",
+    CONJUNCTION: "and but or so because while und aber oder weil denn et mais ou car y pero porque sino",
 }
 
 
@@ -70,90 +79,201 @@ class Transducer:
         return [[self.step(s, x) for x in symbols] for s in range(self.states)]
 
 
+def _clauses() -> Transducer:
+    """Writes (symbol, whether a clause ends before it): at a mark that says so, and at a conjunction after a comma."""
+
+    def step(state: int, x: int) -> tuple[int, tuple[int, bool]]:
+        return int(x == COMMA or (state and x in (OPEN, CLOSE))), (x, x in (CLAUSE, SENTENCE, LINE, OPEN, CLOSE) or (x == CONJUNCTION and state == 1))
+
+    return Transducer(2, step)
+
+
 def _negation(reach: int = 3) -> Transducer:
-    """After a negation, the next ``reach`` words are marked negated."""
+    """After a negation, the next ``reach`` words of its clause are marked negated."""
 
-    def step(state: int, word: int) -> tuple[int, tuple[int, bool]]:
-        return (reach, (word, False)) if word == NEGATION else (max(0, state - 1), (word, state > 0))
+    def step(state: int, x: tuple) -> tuple[int, tuple]:
+        if x[1]:
+            state = 0
+        if x[0] == NEGATION:
+            return reach, (*x, False)
+        return (max(0, state - 1) if x[0] in WORD else state), (*x, state > 0)
 
     return Transducer(reach + 1, step)
 
 
-def _reported() -> Transducer:
-    """From a word of speech to the clause's end, words are marked reported."""
-    return Transducer(2, lambda state, x: (1 if x[0] == REPORTED else state, (*x, bool(state))))
+PLAIN, SAID, QUOTED, SAID_QUOTED = range(4)
+
+
+def _speech() -> Transducer:
+    """Marks words after a word of speech as reported, up to the sentence's end, a quotation it opens to that one's end.
 
+    Words of another quotation are marked open: a word of speech after them decides.
+    A line's end closes whatever is open.
+    """
 
-def _target() -> Transducer:
-    """From a target to the clause's end, words are marked directed."""
-    return Transducer(2, lambda state, x: (1 if x[0] == TARGET else state, (*x, bool(state))))
+    def step(state: int, x: tuple) -> tuple[int, tuple]:
+        s = x[0]
+        own = PLAIN if s in (CLOSE, OPEN) or state == PLAIN else {SAID: SAID, QUOTED: QUOTED, SAID_QUOTED: SAID}[state]
+        if s == REPORTED:
+            state = SAID_QUOTED if state in (QUOTED, SAID_QUOTED) else SAID
+        elif s == LINE or (s == SENTENCE and state == SAID):
+            state = PLAIN
+        elif s == OPEN:
+            state = {PLAIN: QUOTED, SAID: SAID_QUOTED}.get(state, PLAIN)  # a mark that could be either closes what is open
+        elif s == CLOSE and state in (QUOTED, SAID_QUOTED):
+            state = PLAIN
+        return state, (*x, own)
+
+    return Transducer(4, step)
 
 
 def _weight() -> Transducer:
-    """Factor of an insult or threat, given its marks; 0 for other words.  A threat needs a target."""
+    """(what ends before the symbol, its rank as a target, whether it is a word of speech, weights by the clause's rank, openness).
+
+    An insult counts without a target, more with one or with a person spoken of; a threat only with a target.
+    """
 
-    def step(state: int, x: tuple) -> tuple[int, float]:
-        word, negated, reported, directed = x
-        w = {INSULT: 1.0, THREAT: 0.6 * directed}.get(word, 0.0)
-        return 0, w * (0.3 if negated else 1) * (0.6 if reported else 1) * (1.25 if directed else 1)
+    def step(state: int, x: tuple) -> tuple[int, tuple]:
+        symbol, ends, negated, speech = x
+        factor = (NEGATED if negated else 1.0) * (REPORT if speech == SAID else 1.0)
+        weights = {INSULT: (1.0, 1.25, 1.25), THREAT: (0.0, 0.0, 0.75)}.get(symbol, NOTHING)
+        close = 2 if symbol == LINE or (symbol == SENTENCE and speech != QUOTED) else int(ends)
+        return 0, (close, {TARGET: 2, PERSON: 1}.get(symbol, 0), symbol == REPORTED and speech != QUOTED, tuple(w * factor for w in weights), speech == QUOTED)
 
     return Transducer(1, step)
 
 
-GRAMMAR = _negation().compose(_reported()).compose(_target()).compose(_weight()).table(range(6))
+NEGATED, REPORT = 0.25, 0.25  # factors
+NOTHING = (0.0, 0.0, 0.0)
+
+GRAMMAR = _clauses().compose(_negation()).compose(_speech()).compose(_weight()).table(range(SYMBOLS))
+
+
+class Matcher:
+    """One text through the composed transducer.
+
+    A clause is settled where it ends, as only then it is known whether it has a target, on whichever side.  What a
+    quotation weighs is settled with its sentence, as a word of speech may follow it.
+    """
+
+    def __init__(self) -> None:
+        self.state = self.rank = 0
+        self.total = self.quoted = 0.0
+        self.weights = [0.0, 0.0, 0.0]
+        self.open = self.reported = False
+
+    def _clause(self) -> None:
+        if self.open:
+            self.quoted += self.weights[self.rank]
+        else:
+            self.total += self.weights[self.rank]
+        self.weights = [0.0, 0.0, 0.0]
+        self.rank, self.open = 0, False
+
+    def read(self, symbol: int, weight: float = 1.0) -> None:
+        self.state, (close, rank, speech, weights, quoted) = GRAMMAR[self.state][symbol]
+        if close:
+            self._clause()
+        if speech:
+            self.reported = True
+        if close == 2:
+            self._sentence()
+        self.rank = max(self.rank, rank)
+        self.open |= quoted and symbol in WORD
+        if any(weights):
+            self.weights = [a + w * weight for a, w in zip(self.weights, weights, strict=True)]
+
+    def _sentence(self) -> None:
+        self.total += self.quoted * (REPORT if self.reported else 1.0)
+        self.quoted, self.reported = 0.0, False
+
+    def end(self) -> float:
+        self.read(LINE)
+        return self.total
+
 
 _STRIP = re.compile(r"[^\w']+|_+")
-_ENDS = (".", "!", "?", ";", ":")
+_OPENING, _CLOSING = '"“„«»', '"”“»«'
+_LETTER = re.compile(r"\w")
 
 
 def _word(chunk: str) -> str:
     return _STRIP.sub("", chunk).strip("'")
 
 
+def symbols(chunk: str, kind: int) -> tuple[int, ...]:
+    """A chunk between white space as symbols: quotation marks, its word, marks after it."""
+    has = bool(_word(chunk))
+    lead, trail = chunk, ""
+    if has:
+        lead, trail = chunk[: _LETTER.search(chunk).start()], chunk[len(chunk) - _LETTER.search(chunk[::-1]).start() :]
+    out: list[int] = [OPEN] if any(c in _OPENING for c in lead) else []
+    if not has and any(c in "–—-;:" for c in lead):
+        out.append(CLAUSE)
+    if has:
+        out.append(kind)
+    marks = trail if has else lead
+    if any(c in ".!?…" for c in marks):
+        out.append(SENTENCE)
+    elif any(c in ";:–—" for c in trail):
+        out.append(CLAUSE)
+    elif "," in marks:
+        out.append(COMMA)
+    if any(c in _CLOSING for c in trail):
+        out.append(CLOSE)
+    return tuple(out)
+
+
 class Lexicon(dict):
-    """Chunk between white space -> 2 * class + whether it ends a clause; weights of insults beside it."""
+    """Chunk between white space -> number of its symbols' sequence; weights of insults beside it."""
 
     def __init__(self, learned: dict[str, float]):
         super().__init__()
         self.classes = {w: c for c, words in WORDS.items() for w in words.split()}
         self.learned = learned
         self.weight: dict[str, float] = {}
+        self.sequences: list[tuple[int, ...]] = []  # some 150 at most
+        self.numbers: dict[tuple[int, ...], int] = {}
 
     def __missing__(self, chunk: str) -> int:
         word = _word(chunk)
         w = max((self.learned.get(x, 0.0) for x in (word + "$", *(word[:k] for k in PREFIXES if len(word) >= k))), default=0.0) if word else 0.0
         kind = INSULT if w > 0 else self.classes.get(word, OTHER)
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-            self.weight.clear()
-        if kind == INSULT:
-            self.weight[chunk] = w
-        self[chunk] = code = 2 * kind + chunk.endswith(_ENDS)
-        return code
+        found = symbols(chunk, kind)
+        number = self.numbers.get(found)
+        if number is None:
+            number = self.numbers[found] = len(self.sequences)
+            self.sequences.append(found)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self) >= CACHE_SIZE:
+                self.clear()
+                self.weight.clear()
+            self[chunk] = number
+            if kind == INSULT:
+                self.weight[chunk] = w
+        return number
+
+    def _weight_of(self, chunk: str) -> float:
+        w = self.weight.get(chunk)
+        if w is None:
+            word = _word(chunk)
+            w = max(self.learned.get(x, 0.0) for x in (word + "$", *(word[:k] for k in PREFIXES if len(word) >= k)))
+        return w
 
     def score(self, text: str | None) -> float:
         if not text:
             return FLOOR
-        chunks = text.lower().split()
-        codes = bytes(map(self.__getitem__, chunks))
-        if not codes.translate(None, _QUIET):
+        text = text.lower()
+        used = set(map(self.__getitem__, text.split()))
+        if not any(x in (INSULT, THREAT) for n in used for x in self.sequences[n]):
             return FLOOR
-        state, total = 0, 0.0
-        for chunk, code in zip(chunks, codes, strict=True):
-            state, w = GRAMMAR[state][code >> 1]
-            if w:
-                total += w * (self.weight.get(chunk) or self._weight_again(chunk) if code >> 1 == INSULT else 1.0)
-            if code & 1:
-                state = 0
-        return FLOOR + (1 - FLOOR) * (1 - math.exp(-total))
-
-    def _weight_again(self, chunk: str) -> float:
-        self.pop(chunk, None)
-        self[chunk]
-        return self.weight[chunk]
-
-
-_QUIET = bytes(c for c in range(12) if c >> 1 not in (INSULT, THREAT))
+        m = Matcher()
+        for line in text.splitlines():
+            for chunk in line.split():
+                for x in self.sequences[self[chunk]]:
+                    m.read(x, self._weight_of(chunk) if x == INSULT else 1.0)
+            m.read(LINE)
+        return FLOOR + (1 - FLOOR) * (1 - math.exp(-m.end()))
 
 
 def _terms(text: str | None) -> set[str]:
@@ -181,7 +301,7 @@ def learn(labelled: DataFrame, positives: int, negatives: int) -> dict[str, floa
     gain = (F.col("pos") + F.col("neg")) * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0))
     # A text shows some hundred terms and a bounded number of rows is read: e^20 covers all the terms tried.
     strong = seen.filter((F.col("pos") >= 3) & (share > 0.9)).withColumn("gain", gain).filter(F.col("gain") > min(20.0, 2 + 2 * math.log(positives + 1)))
-    top = strong.orderBy(F.desc("gain"), F.length("term"), "term").limit(8 * MAX_LEXICON).collect()
+    top = strong.collect()  # terms of at most MAX_LABELLED rows that three or more toxic ones share
     if not top:
         return {}
     weight = {r.term: min(6.0, math.log((r.pos + 0.5) / (positives + 1)) - math.log((r.neg + 0.5) / (negatives + 1))) / 6 for r in top}
@@ -195,17 +315,15 @@ def learn(labelled: DataFrame, positives: int, negatives: int) -> dict[str, floa
     lexicon: dict[str, float] = {}
     left = [r for r in rows if r]
     least = max(2, positives // 500)
-    while left and len(lexicon) < MAX_LEXICON:
+    while left:
         best, n = max(Counter(t for r in left for t in r).items(), key=lambda x: (x[1], -len(x[0]), x[0]))
         if n < least:
             break
-        # Every strong term on as many documents as this one says the same or more; it joins too.
         lexicon[best] = weight[best]
         left = [r for r in left if best not in r]
     often = Counter(t for r in rows for t in r)
-    floor = max(least, len(rows) // 50)
-    lexicon |= {t: weight[t] for t, n in often.most_common(MAX_LEXICON - len(lexicon)) if n >= floor}
-    return lexicon
+    floor = max(least, len(rows) // 50)  # words that documents of the cover show beside the chosen one
+    return lexicon | {t: weight[t] for t, n in often.items() if n >= floor}
 
 
 def learned_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 4, held_fold: int = 2) -> dict[str, float]:

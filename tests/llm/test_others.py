@@ -9,7 +9,7 @@ from rillflow.llm import registry
 from rillflow.llm.decontaminate import decontaminate, drop_contaminated
 from rillflow.llm.sharding import balanced_shards
 from rillflow.llm.topk import SlicedIndex, top_k
-from rillflow.llm.toxicity import FLOOR, GRAMMAR, INSULT, NEGATION, REPORTED, TARGET, Lexicon, toxicity
+from rillflow.llm.toxicity import COMMA, CONJUNCTION, FLOOR, INSULT, LINE, NEGATION, PERSON, REPORTED, SENTENCE, TARGET, THREAT, WORDS, Lexicon, Matcher, drop_toxic, toxicity
 from rillflow.llm.url_filter import RULES, UNWANTED, WANTED, rule_of, score, split_url, train, url_filter
 
 from .conftest import SF, edge_rows
@@ -105,35 +105,141 @@ def test_url_filter(spark, empty):
         assert (r.host, r.path) == split_url(r.url) and r.rule == (rule_of(r.host, r.path, ordered) or (None,))[0]
 
 
-def test_url_model_on_held_out_rows():
-    right = 0
+def test_url_model_on_held_out_hosts():
+    """Every name of the table has a host of its own; ordinary hosts are allowed, nothing of the tables to be judged is in it."""
+    hosts = [u.split("/")[0] for u in (*UNWANTED, *WANTED)]
+    assert len(set(hosts)) == len(hosts)
+    missed = wrong = 0
     for fold in range(5):
         w = train([u for i, u in enumerate(UNWANTED) if i % 5 != fold], [u for i, u in enumerate(WANTED) if i % 5 != fold])
-        right += sum(score([u.encode() for u in UNWANTED[fold::5]], w) >= 0.5) + sum(score([u.encode() for u in WANTED[fold::5]], w) < 0.5)
-    assert right >= 0.8 * (len(UNWANTED) + len(WANTED))
+        missed += sum(score([u.encode() for u in UNWANTED[fold::5]], w) < 0.5)
+        wrong += sum(score([u.encode() for u in WANTED[fold::5]], w) >= 0.5)
+    assert missed <= 0.1 * len(UNWANTED) and wrong <= 0.02 * len(WANTED)
     w = train(UNWANTED, WANTED)
-    assert all(score([b"blog.casino-win.example.net/fr/9", b"adult-x.example.com/fr/1"], w) > 0.5) and score([b"m.ththor.example.net/fr/12"], w)[0] < 0.5
+    ordinary = ["en.wikipedia.org/wiki/Casino", "shop.bestbuy.com/product/1", "github.com/apache/spark", "www.example.com/", "stackoverflow.com/questions/11", "arxiv.org/abs/1706.03762", "docs.python.org/3/", "news.ycombinator.com/item", "qzvw.example.org/fr/9", "", "a"]
+    assert max(score([u.encode() for u in ordinary], w)) < 0.5
+    assert min(score([b"best-casino-bonus.net/play", b"cheapviagra-pills.org/", b"www.poker-slots.example.com/en/1"], w)) > 0.5
+    names = {h.removeprefix(x) for r in duckdb.sql(f"select url from '{SF}/pages.parquet'").fetchall() for h in [split_url(r[0])[0]] for x in ("www.", "m.", "blog.", "") if h.startswith(x)}
+    own = {n.split(".")[0] for n in names} - {"www", "m", "blog"}
+    assert not own & {part for h in hosts for part in h.split(".")}
+
+
+def test_url_filter_edges(spark):
+    """Very long urls, repeated rows, clashing names."""
+    long = "http://" + "a" * 300_000 + ".com/en/" + "b" * 300_000
+    rows = [(1, long, "x", 0.5), (2, long, "y", 0.5), (1, long, "x", 0.5), (None, None, None, None)]
+    got = url_filter(spark.createDataFrame(rows, "page_id long, url string, rule string, block_score double")).collect()
+    assert sorted(str(r.page_id) for r in got) == ["1", "1", "2", "None"] and all(r.rule == "com/en/" and r.verdict == "block" for r in got if r.page_id)
 
 
 # --- 7 ---
 
 
 def grammar(*symbols):
-    state, total = 0, 0.0
+    m = Matcher()
     for s in symbols:
-        state, w = GRAMMAR[state][s]
-        total += w
-    return total
+        m.read(s)
+    return m.end()
 
 
 def test_grammar_scores_clauses():
-    assert grammar(INSULT) == 1 and grammar(TARGET, INSULT) == 1.25
-    assert grammar(NEGATION, 0, INSULT) == pytest.approx(0.3) and grammar(NEGATION, 0, 0, 0, INSULT) == 1
-    assert grammar(REPORTED, TARGET, INSULT) == pytest.approx(0.75) and grammar(2) == 0 and grammar(TARGET, 2) == pytest.approx(0.75)
+    assert grammar(INSULT) == 1 and grammar(TARGET, INSULT) == grammar(INSULT, TARGET) == grammar(PERSON, INSULT) == 1.25
+    assert grammar(NEGATION, 0, INSULT) == pytest.approx(0.25) and grammar(NEGATION, 0, 0, 0, INSULT) == 1 and grammar(NEGATION, LINE, INSULT) == 1
+    assert grammar(REPORTED, TARGET, INSULT) == pytest.approx(1.25 / 4) and grammar(REPORTED, SENTENCE, INSULT) == 1
+    assert grammar(THREAT) == grammar(PERSON, THREAT) == grammar(THREAT, SENTENCE, TARGET) == 0 and grammar(TARGET, THREAT) == grammar(THREAT, TARGET) == 0.75
+    assert grammar(THREAT, COMMA, CONJUNCTION, TARGET) == 0 and grammar(THREAT, COMMA, TARGET) == 0.75
+
+
+#: Weighted words, as learned ones would be.
+LEARNED = {"idiot$": 1.0, "scum$": 0.9}
+
+
+def clause_score(text):
+    """The grammar by hand: sentences, quotations and clauses cut by patterns, words looked up one by one."""
+    import re
+
+    kinds = {w: k for k, ws in WORDS.items() for w in ws.split()} | {w[:-1]: INSULT for w in LEARNED}
+    total = 0.0
+    for line in text.lower().splitlines():
+        # A mark stands for a change of quotation; sentences end outside quotations only, but for a reported one.
+        parts, quoted, pieces, reported_to_end, opened = re.split(r'(["“”„«»])', line), False, [], False, False
+        for part in parts:
+            if re.fullmatch(r'["“”„«»]', part):
+                quoted = not quoted
+                opened = quoted and reported_to_end
+                if not quoted:
+                    reported_to_end = False
+                continue
+            for sentence in re.findall(r"[^.!?]+[.!?]*|[.!?]+", part):
+                for clause in re.split(r"[;:]|,(?=\s*(?:%s)\b)" % "|".join(WORDS[CONJUNCTION].split()), sentence):
+                    words, weights, target, person, near = re.findall(r"[\w']+", clause), [], False, False, 0
+                    for w in words:
+                        k = kinds.get(w, 0)
+                        target, person = target or k == TARGET, person or k == PERSON
+                        factor = (0.25 if near else 1) * (0.25 if reported_to_end or opened else 1)
+                        if k == INSULT:
+                            weights.append((k, LEARNED[w + "$"] * factor))
+                        if k == THREAT:
+                            weights.append((k, factor))
+                        if k == REPORTED:
+                            reported_to_end = True
+                            pieces.append(("speech", quoted, 0.0))
+                        near = 3 if k == NEGATION else max(0, near - 1)
+                    w = sum((1.25 if target or person else 1.0) * w if k == INSULT else 0.75 * w * target for k, w in weights)
+                    pieces.append(("clause", quoted and not opened, w))
+                if re.search(r"[.!?]\s*$", sentence) and not (quoted and not opened):
+                    total += _settled(pieces)
+                    pieces = []
+                    reported_to_end = reported_to_end and opened
+        total += _settled(pieces)
+    return FLOOR + (1 - FLOOR) * (1 - np.exp(-total))
+
+
+def _settled(pieces):
+    speech = any(k == "speech" and not q for k, q, _ in pieces)
+    return sum(w * (0.25 if q and speech else 1) for k, q, w in pieces if k == "clause")
+
+
+def test_grammar_against_clauses_by_hand():
+    words = Lexicon(LEARNED)
+    for text in [
+        "I will kill you.", "kill you", "We will hurt them tonight.", "you will kill", "they kill time", "not bad\nidiot", 'he wrote: "you idiot"', '"You idiot," he said.', '"You idiot."', "You are not an idiot", "an idiot",
+        "she said that you are an idiot. You are scum", "never mind, and you are an idiot", 'he wrote: "you idiot" and you are scum', "they kill time, but you are nice", '"You idiot. You scum!" she said', "",
+        "Kein idiot; du bist scum!", "he said you are an idiot\nscum", "idiot", "you, my friend, are an idiot", "murder the dog: you heard", 'no. "scum" and idiot', "the quick brown fox.",
+    ]:
+        assert words.score(text) == pytest.approx(clause_score(text), abs=1e-9), text
+    rnd = np.random.default_rng(8)
+    bag = ["you", "he", "idiot", "scum", "kill", "not", "the", "fox", "said", "and", "but", "never", "hurt", "them", "day"]
+    for _ in range(400):
+        text = "".join(w + str(rnd.choice(["", ",", ".", "!", ";", ":"], p=[0.6, 0.1, 0.1, 0.05, 0.1, 0.05])) + str(rnd.choice([" ", "\n"], p=[0.93, 0.07])) for w in rnd.choice(bag, rnd.integers(1, 30)))
+        assert words.score(text) == pytest.approx(clause_score(text), abs=1e-9), text
+
+
+def test_lexicon():
     words = Lexicon({"idiot$": 1.0, "lowei": 1.0})
     assert words.score(None) == words.score("") == words.score("fine day") == FLOOR
     assert words.score("You are an idiot.") > words.score("an idiot.") > words.score("said: he. not an idiot") > FLOOR
     assert words.score("xx LOWEIßen, yy") > 0.3
+    assert words.score("loweih" + "e" * 100_000 + " " + "=" * 200_000 + "x idiot" + "!" * 100_000) > 0.8
+
+
+@pytest.mark.parametrize("which", ["edge", "repeated", "empty"])
+def test_toxicity_edges(spark, request, which):
+    """Every row is scored as its text alone is; clashing names and other columns don't matter; rejected rows go."""
+    df = request.getfixturevalue(which)
+    text = "w1"  # a word of the edge texts that labels call toxic
+    docs = spark.createDataFrame([(1000 + i, f"{text} w{i}" if i % 4 == 0 else f"plain w{2 + i}") for i in range(120)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(text like 'w1 %' as int) as toxic")
+    from rillflow.llm.toxicity import learned_lexicon
+
+    lexicon = learned_lexicon(docs, labels)
+    assert "w1$" in lexicon
+    both = df.select("doc_id", "text").unionByName(docs)
+    words = Lexicon(lexicon)
+    want = Counter((r.doc_id, r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2, words.score(r.text)) for r in both.collect())
+    assert Counter((r.doc_id, r.held_out, r.score) for r in toxicity(both, labels).collect()) == want
+    kept = drop_toxic(both.withColumns({"score": both.doc_id, "toxic": both.text}), labels)
+    assert kept.columns == ["doc_id", "text", "score", "toxic"] and Counter(r.doc_id for r in kept.collect()) == Counter(i for (i, _, s), n in want.items() for _ in range(n) if s < 0.3)
 
 
 def test_toxicity_learns_from_labels(spark, repeated, empty):
@@ -258,3 +364,44 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id: r.text for r in stage.collect()} == clean
     assert all(r.n_chars == len(r.text) for r in stage.collect() if rows[r.doc_id] != r.text)
     check_packing(stage, list(clean.items()))
+
+
+@pytest.mark.parametrize("which", ["edge", "repeated", "empty"])
+def test_pipeline_stages_on_edge_tables(spark, request, which):
+    """Nulls, empty and very long texts, copies, repeated rows and ids, an empty table, clashing names: rows go or stay whole."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from rillflow.llm.common import cut
+
+    from .test_texts import components_by_hand, removed_by_hand
+
+    stage = request.getfixturevalue(which).withColumns({"n_removed": F.lit(7), "_row": F.lit(8), "all": F.lit("x"), "n_chars": F.char_length("text")})
+    counted = lambda df: Counter(tuple(r) for r in df.select("doc_id", "n_removed", "_row", "all").collect())
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before, out = stage, cut(f(spark, stage, SF))
+        assert out.columns == before.columns and out.dtypes == before.dtypes
+        had, left = counted(before), counted(out)
+        assert not left - had
+        rows = [(r.doc_id, r.text) for r in before.collect()]
+        if name == "near_dedup" and which == "edge":
+            assert {i for i, *_ in left} == {i for i, _, _, kept in components_by_hand(rows, 5) if kept}
+        if name == "near_dedup" and which == "repeated":
+            texts = [t for _, t in rows if t]
+            assert sorted(r.text for r in out.collect() if r.text) == sorted(set(texts))
+        if name == "suffix_dedup":
+            assert left == had and [r.text for r in out.collect() if r.text is None] == [t for _, t in rows if t is None]
+        if name == "suffix_dedup" and which == "edge":
+            gone = removed_by_hand(rows)
+            assert all(len((r.text or "").encode()) == gone[r.doc_id][0] - gone[r.doc_id][1] and (r.text is None or r.n_chars == len(r.text)) for r in out.collect())
+        if name == "decontamination":
+            assert left == had
+        stage = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, stage, SF)
+    assert Counter(r.doc_id for r in packed.filter("piece = 0").collect()) == Counter(r.doc_id for r in stage.collect())
+
+
+def test_remove_repeats_keeps_a_column_of_its_name(spark):
+    from rillflow.llm.suffix_dedup import remove_repeats
+
+    df = spark.createDataFrame([(1, "ab" * 120, 7), (2, "x", 9)], "doc_id long, text string, n_removed int")
+    assert {(r.doc_id, r.n_removed, r.n_removed_) for r in remove_repeats(df).collect()} == {(1, 7, 238), (2, 9, 0)}
