@@ -2,7 +2,15 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written and read again before the next.  All but the last return the columns
-of ``documents``.  Rows with null texts or ids pass the filters.
+of ``documents``, whatever more there are.
+
+Defined cases, alike for all stages: an empty table gives an empty one; rows
+with null, empty or blank texts pass the filters, as they have neither
+insults, shingles, windows nor 100 bytes, and are packed as one token; rows
+with null ids pass the filters unless toxic or contaminated; of repeated rows
+near-dedup leaves one, and where ids repeat with other texts each row is judged
+by its own text; very long texts are read whole; a caller's columns with names
+that stages use inside are kept as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut, table
+from rillflow.llm.common import cut, free_name, table
 from rillflow.llm.decontaminate import drop_contaminated
 from rillflow.llm.near_dup import drop_near_duplicates
 from rillflow.llm.packing import pack
@@ -30,9 +38,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 100 bytes that start earlier go; every document stays, ``n_chars`` follows its text."""
-    done = remove_repeats(docs)
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Bytes of strings of 100 bytes that start earlier go; every document stays, ``n_chars``, where there is one, follows its text."""
+    count = free_name(docs.columns, "n_removed")
+    done = remove_repeats(docs, count=count)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col(count) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
