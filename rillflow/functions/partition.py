@@ -19,6 +19,20 @@ def fnv1a(key: Column) -> Column:
     return F.aggregate(steps, F.lit(OFFSET_BASIS).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * PRIME).bitwiseAND(F.lit(WORD)))
 
 
+def fnv1a_of(key: str) -> int:
+    """:func:`fnv1a` of one key, in Python."""
+    h = OFFSET_BASIS
+    for b in key.encode():
+        h = ((h ^ b) * PRIME) & WORD
+    return h
+
+
+def partition_number(key: str, partitions: int) -> int:
+    """:func:`partition_of` of one key under the default hash."""
+    h = fnv1a_of(key)
+    return abs(h - (WORD + 1) if h > WORD >> 1 else h) % partitions
+
+
 def partition_of(key: Column, partitions: int, hasher: Callable[[Column], Column] = fnv1a) -> Column:
     """The hash as a signed 32-bit number, its absolute value (in 64 bits), modulo ``partitions``."""
     h = hasher(key)

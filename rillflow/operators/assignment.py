@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.operators.joins import BROADCAST_ROWS
+
 
 def copartition_plan(subscriptions: DataFrame, topics: DataFrame, strict: bool = False) -> DataFrame:
     """(member, topic, partition) from subscriptions (member, topic) and topics (topic, partitions).
@@ -24,5 +26,6 @@ def copartition_plan(subscriptions: DataFrame, topics: DataFrame, strict: bool =
     members = members.withColumns({"i": F.row_number().over(Window.orderBy("member")) - 1, "m": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
     share = F.col("partitions") / F.col("m")
     edge = lambda i: F.floor(i * share + 0.5).cast("int")
-    rows = subscriptions.distinct().join(F.broadcast(members), "member").join(F.broadcast(topics), "topic").withColumns({"lo": edge(F.col("i")), "hi": edge(F.col("i") + 1)})
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rows = subscriptions.distinct().join(small(members), "member").join(small(topics), "topic").withColumns({"lo": edge(F.col("i")), "hi": edge(F.col("i") + 1)})
     return rows.filter("lo < hi").select("member", "topic", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("partition"))

@@ -1,7 +1,8 @@
 """Options of processors, views and emitters.
 
 Options that steer what Spark's runtime owns (hot standby, recover-ahead,
-rebalance callbacks, client builders) are accepted and have no effect.
+rebalance callbacks, client builders) are accepted and have no effect; all
+others have one.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ class Backoff:
         self.current = 0.0
 
 
+OLDEST, NEWEST = "oldest", "newest"
+
+
 @dataclass
 class ProcessorOptions:
     nil_handling: str = NIL_IGNORE
@@ -41,7 +45,11 @@ class ProcessorOptions:
     hasher: Callable[[Column], Column] = fnv1a
     default_headers: dict[str, bytes] = field(default_factory=dict)
     context_wrapper: Callable | None = None
+    #: (topic, key, stored bytes or None, change's bytes or None) -> bytes or None, for presets and changes of joined tables
     update_callback: Callable | None = None
+    #: (rows of the batch, its number), after its outputs are written and before it counts as done; an error undoes the batch
+    before_commit: Callable | None = None
+    start: str = OLDEST  # or NEWEST: where input streams begin when there is no checkpoint yet
     graph_hook: Callable | None = None
     client_id: str = "rillflow"
     channel_size: int | None = None  # files per micro-batch

@@ -44,7 +44,7 @@ class Emitter:
             return
         try:
             rows = [(i, k, v, h) for i, (k, v, h, _) in enumerate(batch)]
-            self.topics.append(self.topic, self.topics.spark.createDataFrame(rows, "seq long, key string, value binary, headers map<string,binary>"))
+            self.topics.append(self.topic, self.topics.spark.createDataFrame(rows, "seq long, key string, value binary, headers map<string,binary>"), hasher=self.options.hasher)
         except Exception as e:
             for *_, p in batch:
                 p.finish(e)
@@ -56,7 +56,7 @@ class Emitter:
         """Appends (key, value typed as the codec's); the next offset."""
         if self._closed:
             raise EmitterClosed("emitter is finished")
-        return self.topics.append(self.topic, df.withColumn("value", self.codec.encode(F.col("value"))))
+        return self.topics.append(self.topic, df.withColumn("value", self.codec.encode(F.col("value"))), hasher=self.options.hasher)
 
     def finish(self) -> None:
         self._closed = True

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -13,6 +14,8 @@ from pyspark.sql.streaming import DataStreamWriter
 class Store(Protocol):
     """An external key-value store, e.g. a Redis hash; opened once per partition."""
 
+    def get(self, key: str) -> bytes | None: ...
+
     def set(self, key: str, value: bytes) -> None: ...
 
     def delete(self, key: str) -> None: ...
@@ -53,6 +56,22 @@ def write_store(changes: DataFrame, open_store: Callable[[], Store]) -> None:
     last.foreachPartition(apply)
 
 
+def read_store(keys: DataFrame, open_store: Callable[[], Store]) -> DataFrame:
+    """(key, value) for a table of keys, as the store has them; keys that it lacks are left out."""
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = open_store()
+        try:
+            for b in batches:
+                found = [(k, store.get(k)) for k in b.column("key").to_pylist()]
+                found = [(k, v) for k, v in found if v is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.binary())], ["key", "value"])
+        finally:
+            store.close()
+
+    return keys.select("key").filter("key is not null").distinct().mapInArrow(look_up, "key string, value binary")
+
+
 def namespaced(namespace: str, topic: str, partition: int) -> str:
     """The name of a table partition's hash in an external store."""
     return f"{namespace}:{topic}:{partition}"

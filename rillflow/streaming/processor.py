@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillflow.functions.codec import Codec
+from rillflow.functions.partition import partition_of
 from rillflow.plans.graph import GroupGraph, Join
 from rillflow.plans.options import ProcessorOptions
 from rillflow.sources.envelope import NIL_DECODE, NIL_IGNORE
 
 PRESET, CHANGE, MESSAGE, VISIT = range(4)
-IN = "kind int, topic string, key string, offset long, timestamp timestamp, value binary, headers map<string,binary>"
-OUT = "kind string, topic string, key string, value binary, headers map<string,binary>, offset long, seq int"
+IN = "kind int, topic string, key string, offset long, timestamp timestamp, value binary, headers map<string,binary>, partition int"
+OUT = "kind string, topic string, key string, value binary, headers map<string,binary>, offset long, seq int, source string"
 TABLE, OUTPUT, LOOP, FINAL = "table", "output", "loop", "final"
 LOOKUP_ROWS = 1_000_000
 
@@ -134,14 +135,15 @@ class KeyRun:
     def start(self, state: bytes | None, joins: dict[str, bytes | None] | None = None) -> None:
         self.state, self.joins = [state], dict(joins or {})
 
-    def row(self, kind: int, topic: str, key: str, offset: int, timestamp: datetime | None, value: bytes | None, headers: dict | list | None) -> list[tuple]:
+    def row(self, kind: int, topic: str, key: str, offset: int, timestamp: datetime | None, value: bytes | None, headers: dict | list | None, partition: int | None = 0) -> list[tuple]:
+        update = self.options.update_callback
         if kind == PRESET:
-            self.state[0] = value
+            self.state[0] = update(self.graph.group_table.topic, key, self.state[0], value) if update else value
             return []
         if kind == CHANGE:
-            self.joins[topic] = value
+            self.joins[topic] = update(topic, key, self.joins.get(topic), value) if update else value
             return []
-        context = Context(self.graph, self.options, key, topic, offset, timestamp, dict(headers or {}), _state=self.state, _joins=self.joins, _lookups=self.lookups)
+        context = Context(self.graph, self.options, key, topic, offset, timestamp, dict(headers or {}), partition or 0, _state=self.state, _joins=self.joins, _lookups=self.lookups)
         try:
             if kind == VISIT:
                 if self.state[0] is None:
@@ -156,14 +158,14 @@ class KeyRun:
             callback(own, message)
         except Exception as e:
             raise ProcessingError(f"error processing message from topic {topic}, key {key}, offset {offset}: {e}") from e
-        return [(*x, offset, i) for i, x in enumerate(context._out)]
+        return [(*x, offset, i, f"{key}\t{topic}") for i, x in enumerate(context._out)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.binary()), pa.int64(), pa.int32()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.binary()), pa.int64(), pa.int32(), pa.string()]
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     cols = [[None if v is None else list(v.items()) for v in c] if i == 4 else list(c) for i, c in enumerate(cols)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "topic", "key", "value", "headers", "offset", "seq"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "topic", "key", "value", "headers", "offset", "seq", "source"])
 
 
 def _lookup_rows(tables: dict[str, DataFrame] | None) -> dict[str, dict[str, bytes]]:
@@ -191,7 +193,8 @@ def run_batch(graph: GroupGraph, messages: DataFrame, options: ProcessorOptions
     def tagged(df: DataFrame, kind: int) -> DataFrame:
         has = set(df.columns)
         col = lambda c, otherwise: F.col(c) if c in has else otherwise
-        return df.select(F.lit(kind).alias("kind"), col("topic", F.lit("")).alias("topic"), "key", col("offset", F.lit(-1)).cast("long").alias("offset"), col("timestamp", none).cast("timestamp").alias("timestamp"), "value", col("headers", F.lit(None)).cast("map<string,binary>").alias("headers"))
+        partition = partition_of(F.col("key"), options.partitions, options.hasher)
+        return df.select(F.lit(kind).alias("kind"), col("topic", F.lit("")).alias("topic"), "key", col("offset", F.lit(-1)).cast("long").alias("offset"), col("timestamp", none).cast("timestamp").alias("timestamp"), "value", col("headers", F.lit(None)).cast("map<string,binary>").alias("headers"), col("partition", partition).cast("int").alias("partition"))
 
     parts = [tagged(messages, MESSAGE)]
     parts += [tagged(df, k) for df, k in ((table, PRESET), (join_changes, CHANGE), (visits, VISIT)) if df is not None]
@@ -207,35 +210,46 @@ def run_batch(graph: GroupGraph, messages: DataFrame, options: ProcessorOptions
         run, last = KeyRun(graph, options, known.value), None
         for b in it:
             out = []
-            for kind, topic, key, offset, timestamp, value, headers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for kind, topic, key, offset, timestamp, value, headers, partition in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if last is None or key != last[0]:
                     if last is not None and run.state[0] is not None:
-                        out.append((FINAL, "", last[0], run.state[0], None, last[1], 0))
+                        out.append((FINAL, "", last[0], run.state[0], None, last[1], 0, last[0]))
                     run.start(None)
                 last = (key, offset)
-                out += run.row(kind, topic, key, offset, timestamp, value, headers)
+                out += run.row(kind, topic, key, offset, timestamp, value, headers, partition)
             yield _batch(out)
         if last is not None and run.state[0] is not None:
-            yield _batch([(FINAL, "", last[0], run.state[0], None, last[1], 0)])
+            yield _batch([(FINAL, "", last[0], run.state[0], None, last[1], 0, last[0])])
 
     return rows.mapInArrow(handle, OUT)
 
 
-def run_until_quiet(graph: GroupGraph, messages: DataFrame, options: ProcessorOptions | None = None, table: DataFrame | None = None, rounds: int = 100, **more) -> tuple[DataFrame, DataFrame]:
-    """Runs the group and feeds loop-backs in again until none is left: (all outputs and table changes, final table)."""
-    from rillflow.sources.topics import materialised
+def run_until_quiet(graph: GroupGraph, messages: DataFrame, options: ProcessorOptions | None = None, table: DataFrame | None = None, rounds: int = 1000, join_changes: DataFrame | None = None, lookups: dict[str, DataFrame] | None = None, visits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Runs the group and feeds loop-backs in again until none is left: (all outputs and table changes, final table).
 
-    done, offset = None, 0
-    for _ in range(rounds):
-        out = materialised(run_batch(graph, messages, options, table, **more))
-        some = out.filter(F.col("kind").isin(OUTPUT, TABLE)).withColumn("round", F.lit(offset))
+    Visits and changes of joined tables belong to the first round; later ones
+    see the joined tables as these left them.  A round's messages are the loop-backs
+    of the one before, numbered from 0 in the order in which they were sent.
+    """
+    from rillflow.sources.topics import materialised, numbered
+
+    done = None
+    for i in range(rounds):
+        out = materialised(run_batch(graph, messages, options, table, join_changes, lookups, visits))
+        some = out.filter(F.col("kind").isin(OUTPUT, TABLE)).withColumn("round", F.lit(i))
         done = some if done is None else done.unionByName(some)
+        if i % 50 == 49:
+            done = materialised(done)  # a plan of as many parts as there were rounds is slow to read
         table = out.filter(F.col("kind") == FINAL).select("key", "value")
         loops = out.filter(F.col("kind") == LOOP)
         if loops.isEmpty():
             return done, table
-        messages = loops.select("topic", "key", (F.col("offset") * 1000 + F.col("seq")).alias("offset"), "value", "headers")
-        offset += 1
+        if i == 0 and join_changes is not None:
+            last = join_changes.groupBy("topic", "key").agg(F.max_by(F.struct("value"), F.col("offset")).alias("last"))
+            join_changes = materialised(last.select("topic", "key", F.lit(-1).cast("long").alias("offset"), "last.value"))
+        visits = None
+        messages, _ = numbered(loops.select("topic", F.col("key").alias("_to"), "value", "headers", "offset", "seq", "source"), F.struct("offset", "source", "seq"))
+        messages = messages.select("topic", F.col("_to").alias("key"), F.col("_number").alias("offset"), "value", "headers")
     raise ProcessingError(f"the loop did not come to rest in {rounds} rounds")
 
 
@@ -260,7 +274,7 @@ class KeyedState(StatefulProcessor):
         out = []
         for r in sorted(rows, key=lambda r: (r.offset, r.kind, ranks.get(r.topic, len(ranks)))):
             value = None if r.value is None else bytes(r.value)
-            out += self.run.row(r.kind, r.topic, r.key, r.offset, r.timestamp, value, r.headers)
+            out += self.run.row(r.kind, r.topic, r.key, r.offset, r.timestamp, value, r.headers, r.partition)
         after = self.run.state[0]
         if after is None:
             self.table.clear()
@@ -272,8 +286,8 @@ class KeyedState(StatefulProcessor):
                     self.joined.removeKey((n,))
             elif v != joins.get(n):
                 self.joined.updateValue((n,), (v,))
-        for kind, topic, k, value, headers, offset, seq in out:
-            yield Row(kind=kind, topic=topic, key=k, value=value, headers=headers, offset=offset, seq=seq)
+        for kind, topic, k, value, headers, offset, seq, source in out:
+            yield Row(kind=kind, topic=topic, key=k, value=value, headers=headers, offset=offset, seq=seq, source=source)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.table.update((bytes(initialState.value),))
@@ -294,7 +308,7 @@ def stream_rows(graph: GroupGraph, messages: DataFrame) -> DataFrame:
     """Envelopes tagged for :func:`stream_state`: changes of joined tables, messages of all else."""
     names = [e.topic for e in graph.edges if type(e) is Join]
     kind = F.when(F.col("topic").isin(names), F.lit(CHANGE)).otherwise(F.lit(MESSAGE)) if names else F.lit(MESSAGE)
-    return messages.select(kind.alias("kind"), "topic", "key", "offset", F.col("timestamp").cast("timestamp").alias("timestamp"), "value", "headers")
+    return messages.select(kind.alias("kind"), "topic", "key", "offset", F.col("timestamp").cast("timestamp").alias("timestamp"), "value", "headers", "partition")
 
 
 # --- a small ready-made group ----------------------------------------------

@@ -3,6 +3,7 @@
 import os
 from collections import Counter
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -55,6 +56,10 @@ class FileStore:
     def __init__(self, path):
         self.path = path
 
+    def get(self, key):
+        path = os.path.join(self.path, key)
+        return open(path, "rb").read() if os.path.exists(path) else None
+
     def set(self, key, value):
         with open(os.path.join(self.path, key), "wb") as f:
             f.write(value)
@@ -78,6 +83,28 @@ def test_sinks(spark, tmp_path):
     sinks.write_store(rows, lambda: FileStore(path))
     assert os.listdir(path) == ["a"] and (tmp_path / "store" / "a").read_bytes() == b"y"
     assert sinks.namespaced("n", "t", 3) == "n:t:3"
+    keys = spark.createDataFrame([("a",), ("zz",), ("a",), (None,)], "key string")
+    assert [(r.key, bytes(r.value)) for r in sinks.read_store(keys, lambda: FileStore(path)).collect()] == [("a", b"y")]
+
+
+def test_memory_table_of_a_stream(spark, tmp_path):
+    topics = TopicManager(spark, f"file://{tmp_path}")
+    topics.ensure_stream_exists("s", 2)
+    topics.append("s", spark.createDataFrame([("a", b"1"), ("b", b"2")], "key string, value binary"))
+    query = sinks.to_memory(topics.stream("s").select("key", "offset"), "in_memory").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("in_memory").collect()) == [("a", 0), ("b", 1)]
+
+
+def test_no_private_folder_on_a_cluster(spark, monkeypatch):
+    from rillflow.sources import topics
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda name, otherwise: otherwise)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        topics.shared_folder(Cluster())
 
 
 def test_bucketed_forms_keep_null_keys_and_orders(spark):
