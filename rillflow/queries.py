@@ -7,6 +7,7 @@ changelog, an ``error`` event deletes its key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,14 @@ from rillflow.operators import fold, joins, stats, table, visit
 from rillflow.operators.assignment import copartition_plan
 from rillflow.operators.loop import loop_hops, loopback
 from rillflow.operators.view import TableView
+from rillflow.plans.graph import Input, Join, Lookup, Loop, Output, Persist, Visitor, define_group, inputs
+from rillflow.plans.options import ProcessorOptions
 from rillflow.sources.envelope import NIL_DECODE, NIL_IGNORE, NIL_PROCESS, decoded, encoded, envelope, recover_range, union_inputs
-from rillflow.streaming.processor import count_handler, run_state
+from rillflow.sources.sinks import append_text
+from rillflow.sources.topics import TopicManager, shared_folder
+from rillflow.streaming.processor import FINAL, OUTPUT, count_handler, run_batch, run_state, run_until_quiet
+from rillflow.streaming.runner import StreamProcessor
+from rillflow.streaming.view import View
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -407,3 +414,212 @@ def q15b_sum_changelog_in_buckets(spark, d):
 @query(SQL["q26_join_asof"])
 def q26b_join_asof_in_buckets(spark, d):
     return joins.join_asof_in_buckets(orders(spark, d), changes(events(spark, d)), 1000)
+
+
+# --- groups, topics and views as they run -----------------------------------
+
+
+def topic_root(spark: SparkSession) -> TopicManager:
+    """Topics of one query, in a folder of their own."""
+    return TopicManager(spark, f"{shared_folder(spark)}/topics-{uuid.uuid4().hex}")
+
+
+def messages(spark: SparkSession, d: str, topic: str = "events") -> DataFrame:
+    """Events as envelopes with Int64 cents, null on error."""
+    return encoded(envelope(changes(events(spark, d)), topic, "key", "offset", "value"), Int64())
+
+
+def final_values(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("kind") == FINAL).select("key", Int64().decode(F.col("value")).alias("value"))
+
+
+def hop_on(ctx, left: int) -> None:
+    """Counts, and sends what is left of the way to the next key."""
+    ctx.set_value((ctx.value() or 0) + 1)
+    if left:
+        ctx.loopback(str((int(ctx.key) * 7 + 3) % 150), left - 1)
+
+
+@query("""with recursive r as (select cast(user_id as varchar) as key, event_id % 7 as n from events where event_type = 'signup' and user_id is not null union all
+select cast((cast(key as bigint) * 7 + 3) % 150 as varchar), n - 1 from r where n > 0) select key, count(*) as value from r group by key""")
+def q45_loop_callbacks(spark, d):
+    """Loop-backs of callbacks until none is left."""
+    e = events(spark, d).filter("event_type = 'signup' and key is not null").select("key", "offset", (F.col("offset") % 7).alias("way"))
+    graph = define_group("hops", Input("in", Int64(), hop_on), Loop(Int64(), hop_on), Persist(Int64()))
+    _, table_ = run_until_quiet(graph, encoded(envelope(e, "in", "key", "offset", "way"), Int64()))
+    return table_.select("key", Int64().decode(F.col("value")).alias("value"))
+
+
+@query(f"""with {E}, h as (select key, "offset", case when event_type <> 'error' then cents end as value, cast({FNV.format(k="key")} as bigint) as hash from e),
+p as (select *, cast(abs(case when hash > 2147483647 then hash - 4294967296 else hash end) % 8 as int) as "partition", strlen(key) + coalesce(strlen(cast(value as varchar)), 0) as size from h)
+select 'events' as topic, "partition", count(*) filter (where "offset" < 500) as count, cast(coalesce(sum(size) filter (where "offset" < 500), 0) as bigint) as bytes,
+coalesce(max("offset") filter (where "offset" < 500), -1) as last_offset, max("offset") + 1 as hwm, count(*) filter (where "offset" >= 500) as lag, count(*) filter (where "offset" >= 500) = 0 as recovered from p group by "partition\"""")
+def q46_recovery_stats(spark, d):
+    return stats.recovery_stats(messages(spark, d), F.lit(500))
+
+
+def nothing(ctx, message) -> None:
+    pass
+
+
+@query("""select * from (values ('Input', 'clicks', true), ('Input', 'views', true), ('Loop', 'shop-again', false), ('Persist', 'shop-state', false), ('Join', 'limits', true), ('Lookup', 'names', false), ('Output', 'alerts', false), ('Visitor', 'reset', false)) t(kind, topic, copartitioned)""")
+def q47_group_graph(spark, d):
+    """A group's edges under its own suffixes, and which of them must be co-partitioned."""
+    edges = [inputs(["clicks", "views"], Int64(), nothing), Loop(Int64(), nothing), Persist(Int64()), Join("limits", Int64()), Lookup("names", Int64()), Output("alerts", Int64()), Visitor("reset", nothing)]
+    g = define_group("shop", *edges, table_suffix="-state", loop_suffix="-again").validate()
+    found = [*g.input_streams, g.loop_stream, g.group_table, *g.joint_tables, *g.lookup_tables, *g.output_streams, *g.visitors]
+    return spark.createDataFrame([(type(e).__name__, e.topic, e.topic in g.copartitioned()) for e in found], "kind string, topic string, copartitioned boolean")
+
+
+@query("""with m as (select r_name as member, cast(row_number() over (order by r_name) - 1 as int) as i, cast(count(*) over () as int) as m from region)
+select member, unnest(['lineitem', 'orders']) as topic, "partition" from (select member, cast(unnest(range(cast(floor(i * 24.0 / m + 0.5) as int), cast(floor((i + 1) * 24.0 / m + 0.5) as int))) as int) as "partition" from m)""")
+def q48_strict_plan(spark, d):
+    subscriptions = read(spark, d, "region").select(F.col("r_name").alias("member"), F.explode(F.array(F.lit("orders"), F.lit("lineitem"))).alias("topic"))
+    return copartition_plan(subscriptions, spark.createDataFrame([("orders", 24), ("lineitem", 24)], "topic string, partitions int"), strict=True)
+
+
+@query(f"with {E} select key, \"offset\", 'src=replay,type=' || event_type as headers from e")
+def q49_header_pairs(spark, d):
+    """Headers as a source delivers them: of repeated names the last stays."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    pairs = F.array(pair("src", F.lit("events")), pair("type", F.col("event_type")), pair("src", F.lit("replay")))
+    back = F.array_sort(headers.to_pairs(headers.from_pairs(pairs)))
+    return events(spark, d).select("key", "offset", F.array_join(F.transform(back, lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("headers"))
+
+
+def forward(ctx, cents: int) -> None:
+    ctx.emit("out", ctx.key, cents, {"from": ctx.topic.encode(), "partition": str(ctx.partition).encode()})
+
+
+@query(f"""with {E}, h as (select *, cast({FNV.format(k="key")} as bigint) as hash from e where event_type <> 'error')
+select key, "offset", cents as value, 'app=q50,from=events,partition=' || cast(abs(case when hash > 2147483647 then hash - 4294967296 else hash end) % 8 as varchar) as headers from h""")
+def q50_emit_headers(spark, d):
+    """A stateless group that emits with default headers, its own and the message's partition."""
+    graph = define_group("forward", Input("events", Int64(), forward), Output("out", Int64()))
+    out = run_batch(graph, messages(spark, d), ProcessorOptions(default_headers={"app": b"q50", "from": b"nobody"}))
+    pairs = F.array_sort(F.map_entries("headers"))
+    text = F.array_join(F.transform(pairs, lambda x: F.concat(x["key"], F.lit("="), F.decode(x["value"], "UTF-8"))), ",")
+    return out.filter(F.col("kind") == OUTPUT).select("key", "offset", Int64().decode(F.col("value")).alias("value"), text.alias("headers"))
+
+
+class OneMore:
+    """A context of one's own: what is set becomes one more."""
+
+    def __init__(self, ctx):
+        self.ctx = ctx
+
+    def set_value(self, value: int) -> None:
+        self.ctx.set_value(value + 1)
+
+
+def keep(ctx, cents: int) -> None:
+    ctx.set_value(cents)
+
+
+@query(f"with {E} select key, cents + 1 as value from e where event_type <> 'error' qualify row_number() over (partition by key order by \"offset\" desc) = 1")
+def q51_context_wrapper(spark, d):
+    graph = define_group("wrapped", Input("events", Int64(), keep), Persist(Int64()))
+    return final_values(run_batch(graph, messages(spark, d), ProcessorOptions(context_wrapper=OneMore)))
+
+
+def add_limit(ctx, meta: str) -> None:
+    ctx.set_value(ctx.value() + (ctx.join("limits") or 0) + int(meta))
+
+
+@query(f"""with {E}, {LATEST}, l as (select cast(c_custkey as varchar) as key, c_nationkey as n from customer)
+select latest.key, latest.value + coalesce(l.n, 0) + 1000 as value from latest left join l on latest.key = l.key""")
+def q52_join_in_visit(spark, d):
+    """A visitor that joins a table: every row of the group table grows by its limit and 1000."""
+    graph = define_group("limited", Input("events", Int64(), nothing), Persist(Int64()), Join("limits", Int64()), Visitor("grow", add_limit))
+    limits = read(spark, d, "customer").select(F.lit("limits").alias("topic"), F.col("c_custkey").cast("string").alias("key"), F.lit(0).alias("offset"), F.col("c_nationkey").cast("long").alias("value"))
+    preset = encoded(table.compact(changes(events(spark, d))), Int64())
+    visits = preset.select(F.lit("grow").alias("topic"), "key", F.lit(1).alias("offset"), F.encode(F.lit("1000"), "UTF-8").alias("value"))
+    none = messages(spark, d).limit(0)
+    return final_values(run_batch(graph, none, table=preset, join_changes=encoded(limits, Int64()), visits=visits))
+
+
+@query(f"with {E}, {LATEST} select key, value from latest")
+def q53_view_follow(spark, d):
+    """A view that takes later changes in without reading the earlier ones again."""
+    topics, log = topic_root(spark), messages(spark, d).withColumn("seq", F.col("offset"))
+    topics.ensure_table_exists("state", 8)
+    topics.append("state", log.filter("offset < 4000"))
+    view = View(topics, "state", Int64()).run()
+    topics.append("state", log.filter("offset >= 4000 and offset < 5000"))
+    view.refresh()
+    topics.append("state", log.filter("offset >= 5000"))
+    return view.refresh().table()
+
+
+@query(f"with {E} select key, cents as value from (select key, case when event_type <> 'error' then cents end as cents from e qualify row_number() over (partition by key order by \"offset\" desc) = 1)")
+def q54_topic_compaction(spark, d):
+    """A table's topic after compaction: the last change of every key, deletions included."""
+    topics, log = topic_root(spark), messages(spark, d).withColumn("seq", F.col("offset"))
+    topics.ensure_table_exists("state", 8)
+    topics.append("state", log.filter("offset < 5000"))
+    topics.append("state", log.filter("offset >= 5000"))
+    topics.compact("state")
+    return topics.read("state").select("key", Int64().decode(F.col("value")).alias("value"))
+
+
+@query(f"with {E} select key, count(*) as value from e where event_type <> 'error' group by key")
+def q55_stream_processor(spark, d):
+    """A processor over a topic, by micro-batches through the state store; its table as the store has it."""
+    topics = topic_root(spark)
+    topics.ensure_stream_exists("events", 8)
+    topics.append("events", messages(spark, d).withColumn("seq", F.col("offset")))
+    graph = define_group("counting", Input("events", Int64(), count_handler), Persist(Int64()))
+    return StreamProcessor(graph, topics, f"{topics.root}/checkpoint").run_available().table()
+
+
+@query("""select * from (values ('clicks', 4, 'delete', '3600000'), ('state', 4, 'compact', null)) t(topic, partitions, policy, retention)""")
+def q56_topic_catalogue(spark, d):
+    topics = topic_root(spark)
+    topics.ensure_stream_exists("clicks", 4)
+    topics.ensure_table_exists("state", 4)
+    topics.ensure_copartitioned(["clicks", "state"])
+    found = [(t, len(topics.partitions(t)), topics.config(t)["config"]) for t in ("clicks", "state")]
+    return spark.createDataFrame([(t, n, c["cleanup.policy"], c.get("retention.ms")) for t, n, c in found], "topic string, partitions int, policy string, retention string")
+
+
+@query(f"with {E} select cast(cents as varchar) as value from e where event_type <> 'error'")
+def q57_append_storage(spark, d):
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    append_text(messages(spark, d).filter("value is not null"), path)
+    return spark.read.text(path)
+
+
+@query(f"""with {E}, h as (select *, cast({FNV.format(k="key")} as bigint) as hash from e)
+select 'events' as topic, cast(abs(case when hash > 2147483647 then hash - 4294967296 else hash end) % 8 as int) as "partition", count(*) as count, cast(sum(strlen(cast(cents as varchar))) as bigint) as bytes,
+max("offset") as last_offset, epoch(timestamp '2100-01-01') - epoch(max("timestamp")) as delay from h group by 1, 2""")
+def q58_input_delay(spark, d):
+    e = envelope(events(spark, d), "events", "key", "offset", "cents", "timestamp")
+    return stats.input_stats(e, now=F.lit("2100-01-01").cast("timestamp"))
+
+
+def most(topic: str, key: str, old: bytes | None, new: bytes | None) -> bytes | None:
+    """A joined table that keeps the largest value it ever had; deletions don't count."""
+    return old if new is None or (old is not None and int(old) >= int(new)) else new
+
+
+def emit_limit(ctx, cents: int) -> None:
+    ctx.emit("out", ctx.key, ctx.join("limits") or -1)
+
+
+@query(f"""with {E}, {ORDERS}, c as (select key, "offset", max(case when event_type <> 'error' then cents end) {RUN} as value from e)
+select o.key, o."offset", coalesce(c.value, -1) as value from o asof left join c on o.key = c.key and o."offset" >= c."offset\"""")
+def q59_update_callback(spark, d):
+    """Changes of a joined table pass the group's own update function before they are seen."""
+    graph = define_group("limits", Input("orders", Int64(), emit_limit), Join("limits", Int64()), Output("out", Int64()))
+    stream = encoded(envelope(orders(spark, d), "orders", "key", "offset", "cents"), Int64())
+    out = run_batch(graph, stream, ProcessorOptions(update_callback=most), join_changes=messages(spark, d, "limits"))
+    return out.filter(F.col("kind") == OUTPUT).select("key", "offset", Int64().decode(F.col("value")).alias("value"))
+
+
+@query(f'with {E} select key, cast(length(key) % 4 as int) as "partition" from e')
+def q60_custom_hasher(spark, d):
+    """Messages appended under a hash of one's own."""
+    topics = topic_root(spark)
+    topics.ensure_stream_exists("events", 4)
+    topics.append("events", messages(spark, d), hasher=lambda k: F.length(k).cast("long"))
+    return topics.read("events").select("key", "partition")
