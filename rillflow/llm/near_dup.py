@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, HASHES)
 MISS = 1e-6
 BLOCK, SIGNATURE_BLOCK = 512, 2_048
+PAIRS = 200_000  # compared at a time
 SHARE = 256
 BROADCAST_IDS = 500_000
 BATCH_BYTES = 4_000_000
@@ -214,58 +215,112 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("to", F.explode(F.expr(f"if(rest, concat({rest_rest}, {rest_main}), {main_rest})"))).select("band", "number", "to.*", "cid", "comp")
 
 
-def _candidates(t: pa.Table, percent: int, least: dict[int, int], comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """A group's rows x with the rows y that may be linked with x: of another component, alike in size, and in no earlier bucket together."""
-    side, size = t.column("side").to_numpy(), t.column("size_").to_numpy()
-    sig, number = _signature_rows(t.column("sig")), t.column("number")[0].as_py()
-    same = t.column("kind")[0].as_py() == 0 and t.column("i")[0].as_py() == t.column("j")[0].as_py()
-    right = np.arange(len(side)) if same else np.flatnonzero(side == 1)
-    for x in range(len(side)) if same else np.flatnonzero(side == 0):
-        y = right[right > x] if same else right
-        y = y[(comp[y] != comp[x]) & (np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent)]
-        if len(y):
-            y = y[may_link(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
-        if len(y):
-            equal = sig[y] == sig[x]
-            y, equal = (z[equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == number] for z in (y, equal))
-            yield x, y[np.argsort(-equal.sum(axis=1), kind="stable")]
+def _grouped(rows: DataFrame, work: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work(table, group, first, last)`` on many whole groups at a time: row x of side 0 meets rows ``first[x]`` up to ``last[x]``."""
+    keys = ["band", "kind", "i", "j"]
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            end = np.append(start[1:], t.num_rows)[group]
+            side = t.column("side").to_numpy()
+            ones = np.bincount(group, side, len(start)).astype(np.int64)  # rows of side 1 come last
+            same = (t.column("kind").to_numpy() == 0) & (t.column("i").to_numpy() == t.column("j").to_numpy())
+            first = np.where(same, np.arange(t.num_rows) + 1, end - ones[group])
+            return work(t, group, first, np.where((side == 0) | same, end, first))
+
+        def edges(t: pa.Table) -> np.ndarray:
+            new = np.zeros(t.num_rows, bool)
+            new[:1] = True
+            for c in keys:
+                x = t.column(c).to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            return new
+
+        for b in it:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 4 * BLOCK or sum(x.nbytes for x in held) >= 2 * BATCH_BYTES:
+                t = pa.Table.from_batches(held)
+                new = edges(t)
+                whole = int(np.flatnonzero(new)[-1])  # the last group may go on
+                if whole:
+                    yield done(t.slice(0, whole), new[:whole])
+                    held = t.slice(whole).combine_chunks().to_batches()
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield done(t, edges(t))
+        _hashes.clear()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "cid").mapInArrow(read, schema)
+
+
+def _candidates(t: pa.Table, percent: int, least: dict[int, int], first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (x, y, equal hashes) that may be linked: of two components, alike in size, and in no earlier bucket together."""
+    comp, size, number = (t.column(c).to_numpy() for c in ("comp", "size_", "number"))
+    sig = _signature_rows(t.column("sig"))
+    length = np.maximum(0, last - first)
+    total = np.cumsum(length)
+    lo = 0
+    while lo < len(length):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
+        n = length[lo:hi]
+        x = np.repeat(np.arange(lo, hi), n)
+        y = np.repeat(first[lo:hi] - np.cumsum(n) + n, n) + np.arange(len(x))
+        keep = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent)
+        x, y = x[keep], y[keep]
+        equal, done = np.zeros(len(x), np.int32), 0
+        for step in STEPS:
+            equal = equal + (sig[:, done:step][x] == sig[:, done:step][y]).sum(axis=1)
+            keep = equal >= least[step]
+            x, y, equal, done = x[keep], y[keep], equal[keep], step
+        earliest = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        keep = earliest == number[x]
+        yield x[keep], y[keep], equal[keep]
+        lo = hi
 
 
 def _across_components(placed: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, least: dict[int, int]) -> DataFrame:
     """Links (a, b) between components of a bucket.  ``placed`` has band, number, cid and comp."""
 
-    def alive(t: pa.Table) -> pa.Table:
+    def alive(t: pa.Table, group: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
         """Rows with a pair that signatures don't rule out."""
         found = np.zeros(t.num_rows, bool)
-        for x, y in _candidates(t, percent, least, t.column("comp").to_numpy()):
-            found[x] |= len(y) > 0
-            found[y] = True
-        return t.select(["band", "cid"]).filter(pa.array(found))
-
-    rows = _blocks(placed, SIGNATURE_BLOCK).join(sigs, "cid")
-    left = cut(rows.groupBy("band", "kind", "i", "j").applyInArrow(alive, "band long, cid long").distinct())
-    texts = cut(_texts(left.select("cid").distinct(), classes, docs, k).join(sigs, "cid"))
-    rows = _blocks(placed.join(left, ["band", "cid"], "left_semi"), BLOCK).join(texts, "cid")
+        for x, y, _ in _candidates(t, percent, least, first, last):
+            found[x] = found[y] = True
+        return t.select(["band", "cid"]).filter(pa.array(found)).combine_chunks().to_batches(max_chunksize=t.num_rows)[0] if found.any() else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["band", "cid"])
 
-    def across(t: pa.Table) -> pa.Table:
-        """Links between components, until no pair of the group's two sides is both apart and untested."""
-        cid, sets, text = t.column("cid").to_numpy(), [None] * t.num_rows, t.column("text")
+    def across(t: pa.Table, group: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        """Links between components, until no pair of a group's two sides is both apart and untested."""
+        cid, comp, text = t.column("cid").to_numpy(), t.column("comp").to_numpy(), t.column("text")
+        sets: dict[int, np.ndarray] = {}
+        top: dict[tuple[int, int], tuple[int, int]] = {}
 
         def set_of(i: int) -> np.ndarray:
-            if sets[i] is None:
-                sets[i] = shingle_sets([text[i].as_py().encode()], k)[0]
-            return sets[i]
+            if cid[i] not in sets:
+                sets[cid[i]] = shingle_sets([text[i].as_py().encode()], k)[0]
+            return sets[cid[i]]
+
+        def root(i: int) -> tuple[int, int]:
+            at = (int(group[i]), int(comp[i]))
+            while (up := top.get(at, at)) != at:
+                at = up
+            return at
 
-        _, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
         out = []
-        for x, ys in _candidates(t, percent, least, comp):
-            for y in ys:
-                if comp[y] != comp[x] and _similar(set_of(x), set_of(y), percent):
-                    out.append((cid[x], cid[y]))
-                    comp[comp == comp[y]] = comp[x]
-        return pa.table([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], ["a", "b"])
-
-    return cut(rows.groupBy("band", "kind", "i", "j").applyInArrow(across, "a long, b long"))
+        for xs, ys, equal in _candidates(t, percent, least, first, last):
+            order = np.lexsort((-equal, xs, group[xs]))
+            for x, y in zip(xs[order].tolist(), ys[order].tolist(), strict=True):
+                a, b = root(x), root(y)
+                if a != b and _similar(set_of(x), set_of(y), percent):
+                    out.append((int(cid[x]), int(cid[y])))
+                    top[max(a, b)] = min(a, b)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    left = cut(_grouped(_blocks(placed, SIGNATURE_BLOCK).join(sigs, "cid"), alive, "band long, cid long").distinct())
+    texts = cut(_texts(left.select("cid").distinct(), classes, docs, k).join(sigs, "cid"))
+    return cut(_grouped(_blocks(placed.join(left, ["band", "cid"], "left_semi"), BLOCK).join(texts, "cid"), across, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
