@@ -8,16 +8,18 @@ within its class.  Output biases start at the unigram logarithms.
 
 Training: truncated backpropagation through ``WINDOW`` tokens with the state
 carried from window to window over whole documents, which follow one another
-in up to ``BATCH`` lanes; a document starts from a zero state.  ``ROUNDS``
-rounds part the training documents among them by a hash of the id, so each is
-trained on once.  In a round every task trains on all its documents of that
-round, starting from the same weights; the tasks' weights are averaged.  The
-weights' size is fixed; how many are averaged grows with the input.
-
-Scoring reads whole documents, carrying the state through; documents run side
-by side, longest first.  Words with at least ``FREQUENT`` of all tokens (so at
-most 1 / FREQUENT of them) are broadcast with their counts; the other words'
-counts come by a join on the word.
+in up to ``BATCH`` lanes; a document starts from a zero state.  A hash of the
+id deals the training documents to shards of some ``SHARD_TOKENS`` tokens, as
+many as the corpus has tokens for, and the shards to ``ROUNDS`` rounds; so each
+document is trained on once, and neither files nor partitions decide how.  In a
+round every shard trains a network of its own from the same start, which
+becomes the mean of them, Adagrad's sums included.  The weights' size is fixed;
+how many are averaged grows with the input.
+
+Texts are read twice: to count their words, and to number them; training and
+scoring read the numbers.  Scoring takes whole documents, carrying the state through; documents run side
+by side, longest first.  The most frequent words, ``BROADCAST_WORDS`` at most, are
+broadcast with their counts; the other words' counts come by a join on the word.
 
 Tokens are counted, trained on and scored with A-Z lower-cased, split at ASCII
 white space, with an end token after each document.  Defined cases: null and
@@ -51,11 +53,12 @@ HIDDEN = 16
 WINDOW = 32
 BATCH = 128
 ROUNDS = 2
-RATE = 0.08
-FREQUENT = 2.0**-20
+SHARD_TOKENS = 3_000_000
+MERGED = 32  # sums added up by one task
+RATE = 0.16
+BROADCAST_WORDS = 1 << 16
 COUNTER = 400_000
-SCORE_TOKENS = 1_500_000
-TRAIN_TOKENS = 1_500_000
+SCORE_TOKENS = 3_000_000
 SCORE_BYTES = 4_000_000
 CHUNK = 8_192
 
@@ -311,28 +314,47 @@ def _lanes(docs: list[np.ndarray]) -> list[list[np.ndarray]]:
 
 
 def train(net: Network, docs: list[np.ndarray], squares: np.ndarray, rate: float = RATE) -> float:
-    """Adagrad over truncated windows of lanes of documents; the mean loss.  ``squares`` goes on from call to call."""
+    """Adagrad over truncated windows of lanes of documents; the mean loss of windows.  ``squares`` goes on from call to call."""
     total, windows = 0.0, 0
     lanes = _lanes(docs)
     size = np.array([sum(map(len, lane)) for lane in lanes])
-    words = np.zeros((int(size.max()), len(lanes)), np.int64)
-    begins = np.zeros(words.shape, bool)
-    for j, lane in enumerate(lanes):
-        words[: size[j], j] = np.concatenate(lane)
-        begins[np.cumsum([0, *map(len, lane[:-1])]), j] = True
+    first = np.cumsum(size) - size
+    flat = np.concatenate([d for lane in lanes for d in lane])
+    opens = np.zeros(len(flat), bool)  # first tokens of documents
+    opens[np.cumsum([0, *(len(d) for lane in lanes for d in lane)])[:-1]] = True
     h = np.zeros((len(lanes), HIDDEN), np.float32)
     grad = Network(np.zeros_like(net.flat))
-    for t in range(0, len(words), WINDOW):
+    words = net.emb.size  # the embeddings come first
+    embedded, step_ = squares[:words].reshape(net.emb.shape), np.empty_like(net.flat[words:])
+    for t in range(0, int(size.max()), WINDOW):
         n = int((size > t).sum())
-        part = words[t : t + WINDOW, :n]
-        valid = np.arange(t, t + len(part))[:, None] < size[None, :n]
-        grad.flat[:] = 0
-        h, loss = train_window(net, grad, h[:n], part, valid, begins[t : t + WINDOW, :n])
-        norm = math.sqrt(grad.flat @ grad.flat)
+        step = np.arange(t, min(t + WINDOW, int(size.max())))[:, None]
+        valid = step < size[None, :n]
+        at = np.where(valid, first[None, :n] + step, 0)
+        part = np.where(valid, flat[at], 0)
+        h, loss = train_window(net, grad, h[:n], part, valid, opens[at] & valid)
+        # Words outside the window have no gradient: only the others' rows move.
+        seen = np.unique(part)
+        rows, rest = grad.emb[seen], grad.flat[words:]
+        # The last windows hold a few long documents only: a token counts as much there as anywhere.
+        weight = np.float32(valid.sum() / (len(lanes) * WINDOW))
+        rows *= weight
+        rest *= weight
+        norm = math.sqrt(rest @ rest + (rows * rows).sum())
         if norm > 1:
-            grad.flat /= norm
-        squares += grad.flat**2
-        net.flat -= rate * grad.flat / np.sqrt(squares)
+            rows /= norm
+            rest /= norm
+        sums = embedded[seen] + rows * rows
+        embedded[seen] = sums
+        net.emb[seen] -= rate * rows / np.sqrt(sums)
+        np.multiply(rest, rest, out=step_)
+        squares[words:] += step_
+        np.sqrt(squares[words:], out=step_)
+        np.divide(rest, step_, out=step_)
+        step_ *= rate
+        net.flat[words:] -= step_
+        grad.emb[seen] = 0
+        rest[:] = 0
         total, windows = total + loss, windows + 1
     return total / max(1, windows)
 
@@ -340,42 +362,67 @@ def train(net: Network, docs: list[np.ndarray], squares: np.ndarray, rate: float
 # --- Spark ----------------------------------------------------------------
 
 
-def _numbered(text: bytes | None, ids: dict[bytes, int]) -> np.ndarray:
-    words = tokens(text)
-    return np.fromiter(map(ids.get, words, repeat(WORDS)), np.int64, len(words))
-
-
-def _trained(texts: DataFrame, net: Network, ids: dict[bytes, int]) -> Network:
-    """One round: every task trains from ``net`` on its rows; weights averaged by tokens, in two steps."""
-    shared = texts.sparkSession.sparkContext.broadcast((net.flat, ids))
-    parts = -(-len(net.flat) // CHUNK)
+def _trained(learn: DataFrame, start: np.ndarray, shards: int, r: int) -> np.ndarray:
+    """Round ``r``: each of its shards of ``learn`` (id, words) trains from ``start`` (weights and squares); the means by tokens."""
+    begin = learn.sparkSession.sparkContext.broadcast(start)
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    rows = learn.withColumn("shard", shard).filter(F.pmod("shard", F.lit(ROUNDS)) == r)
+    parts = -(-len(start) // CHUNK)
 
     def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, known = shared.value
-        own, squares, n = Network(flat.copy()), np.full(len(flat), 1e-6, np.float32), 0
-        docs, held = [], 0
-        for b in batches_of(it, SCORE_BYTES, "text"):
-            docs += [_numbered(t, known) for t in byte_rows(b, "text")]
-            held = sum(map(len, docs))
-            if held >= TRAIN_TOKENS:
-                train(own, docs, squares)
-                docs, held, n = [], 0, n + held
+        total, tokens_, least = np.zeros(len(start)), 0, None
+        shard, docs = None, []
+
+        def settle() -> None:
+            nonlocal tokens_, total
+            flat, squares = np.split(begin.value.astype(np.float32), 2)
+            net = Network(flat.copy())
+            n, squares = sum(map(len, docs)), squares.copy()
+            train(net, docs, squares)
+            total += np.concatenate([net.flat, squares]).astype(np.float64) * n
+            tokens_ += n
+
+        for b in it:
+            for s, words in zip(b.column("shard").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if s != shard and docs:
+                    settle()
+                    docs = []
+                least = s if least is None else least
+                shard = s
+                docs.append(np.frombuffer(words, "<u2").astype(np.int64))
         if docs:
-            train(own, docs, squares)
-            n += held
-        if n:
-            rows = [(own.flat[i * CHUNK : (i + 1) * CHUNK] * np.float32(n)).tobytes() for i in range(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([zlib.crc32(rows[0]) % 16] * parts, pa.int32()), pa.array([float(n)] * parts, pa.float64()), pa.array(rows, pa.binary())], ["part", "salt", "n", "w"])
+            settle()
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([least] * parts, pa.int32()), pa.array([tokens_] * parts, pa.int64()), pa.array([total[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(parts)], pa.binary())], SUMS)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        w = np.sum([np.frombuffer(x, np.float32) for x in group.w], axis=0, dtype=np.float32)
-        return pd.DataFrame({"part": group.part.iloc[:1], "n": [group.n.sum()], "w": [w.tobytes()]})
+        group = group.sort_values("least")
+        w = np.sum([np.frombuffer(x) for x in group.w], axis=0)
+        return pd.DataFrame({"part": group.part.iloc[:1], "least": group.least.iloc[:1], "n": [group.n.sum()], "w": [w.tobytes()]})
 
-    rows = texts.mapInArrow(fit, "part int, salt int, n double, w binary")
-    for keys in (["part", "salt"], ["part"]):
-        rows = rows.groupBy(*keys).applyInPandas(add, "part int, n double, w binary")
-    done = {r.part: np.frombuffer(r.w, np.float32) / np.float32(r.n) for r in rows.collect()}
-    return Network(np.concatenate([done[i] for i in range(parts)]).astype(np.float32)) if done else net
+    own = -(-shards // ROUNDS)
+    schema = "part int, least int, n long, w binary"
+    sums = rows.select("shard", F.xxhash64("id", F.lit(1)).alias("mix"), "words").repartition(own, "shard").sortWithinPartitions("shard", "mix", "words").mapInArrow(fit, schema)
+    groups = own
+    while groups > 1:  # a task adds up MERGED of them at most, on average
+        groups = -(-groups // MERGED)
+        sums = sums.groupBy("part", F.pmod("least", F.lit(groups)).alias("to")).applyInPandas(add, schema)
+    done = {x.part: np.frombuffer(x.w) / x.n for x in sums.collect()}  # one row per CHUNK weights
+    return np.concatenate([done[i] for i in range(parts)]) if done else start
+
+
+SUMS = ["part", "least", "n", "w"]
+
+
+def _least_count(counts: DataFrame) -> int:
+    """The least count that at most ``BROADCAST_WORDS`` words reach, in steps of an eighth of a doubling."""
+    steps = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count("*").alias("n")).collect()  # some 500 rows at most
+    least, words = 2**63 - 1, 0
+    for r in sorted(steps, key=lambda r: -r.step):
+        words += r.n
+        if words > BROADCAST_WORDS:
+            break
+        least = math.ceil(2 ** (r.step / 8) - 1e-9)
+    return least
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataFrame:
@@ -388,42 +435,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataF
     counts = cut(word_counts(learn.select("text")))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums.n, sums.v
-    least = max(1, math.ceil(total * FREQUENT))
-    known = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= least).collect()}  # at most 1 / FREQUENT rows
+    least = _least_count(counts)
+    known = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= least).collect()}  # at most BROADCAST_WORDS rows
     by_count = sorted(known, key=lambda w: (-known[w], w))
     vocabulary = by_count[:WORDS]
-    ids = {w: i for i, w in enumerate(vocabulary)}
     inside = sum(known[w] for w in vocabulary)
     unigrams = np.zeros(WORDS + 1)
     unigrams[: len(vocabulary)] = [known[w] for w in vocabulary]
     unigrams[WORDS] = total - inside
-    net = Network.start(unigrams)
-    for r in range(ROUNDS):
-        some = learn.filter(F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)) == r).select("text")
-        net = _trained(some, net, ids)
     # log10 of: count smoothing for the base; the share of an unlisted word among the unlisted.
     logs = np.log10(np.array([known[w] for w in by_count], np.float64) + 0.1)
     places = {w: i for i, w in enumerate(by_count)}
     base_den = math.log10(total + 0.1 * (distinct + 1))
     rest_den = math.log10(total - inside + 0.1 * (distinct - len(vocabulary) + 1))
     listed = len(vocabulary)
-    shared = spark.sparkContext.broadcast((net.flat, places, logs))
-
-    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, places, logs = shared.value
-        model, place = Network(flat), places.get
+    shared = spark.sparkContext.broadcast((places, logs))
 
-        def settle(batches: list, words: list[np.ndarray], out: list[tuple]) -> Iterator[pa.RecordBatch]:
-            s = score_documents(model, words)
-            at = 0
-            for b in batches:
-                rows = out[at : at + b.num_rows]
-                cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] + x for r, x in zip(rows, s[at:], strict=False)], pa.float64()), pa.array([r[4] for r in rows], pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], ["row", "id", "held_out", "n_tokens", "n_frequent", "base", "score", "rare"])
-                at += b.num_rows
-
-        batches, words, out, held = [], [], [], 0
+    def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per row its words' numbers in the network's vocabulary, what is known of them, and the words that aren't."""
+        places, logs = shared.value
+        place = places.get
         for b in batches_of(it, SCORE_BYTES, "text"):
+            out = []
             for t in byte_rows(b, "text"):
                 all_ = tokens(t)
                 at = np.fromiter(map(place, all_, repeat(-1)), np.int64, len(all_))
@@ -431,22 +464,46 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", folds: int = 10) -> DataF
                 own = logs[found]
                 rare = [all_[i] for i in np.flatnonzero(at < 0)] if len(found) < len(at) else []
                 rest = own[found >= listed].sum() - (len(at) - np.count_nonzero(found < listed)) * rest_den
-                out.append((len(all_), len(found), own.sum(), rest, rare))
-                words.append(np.where((at < 0) | (at >= listed), WORDS, at))
-                held += len(all_)
+                out.append((len(all_), len(found), own.sum(), rest, rare, np.where((at < 0) | (at >= listed), WORDS, at).astype("<u2").tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
+            cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], ["row", "id", "held_out", "n_tokens", "n_frequent", "base", "rest", "rare", "words"])
+
+    kind = base.schema["id"].dataType.simpleString()
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_frequent long, base double, rest double"
+    numbered = cut(base.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text").mapInArrow(number, f"{schema}, rare array<binary>, words binary"))
+    state = np.concatenate([Network.start(unigrams).flat, np.full(Network.size(), 1e-6)])
+    shards = max(ROUNDS, -(-total // SHARD_TOKENS))
+    for r in range(ROUNDS):
+        state = _trained(numbered.filter("id is not null and not held_out").select("id", "words"), state, shards, r)
+    trained = spark.sparkContext.broadcast(state[: Network.size()].astype(np.float32))
+
+    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Network(trained.value)
+
+        def settle(batches: list[pa.RecordBatch], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            s, at = score_documents(model, docs), 0
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(b.column(6).to_numpy() + s[at : at + n])], [*b.schema.names[:6], "score"])
+                at += n
+
+        batches, docs, held = [], [], 0
+        for b in it:
+            docs += [np.frombuffer(x, "<u2").astype(np.int32) for x in b.column("words").to_pylist()]
             batches.append(b)
+            held += b.column("words").nbytes // 2
             if held >= SCORE_TOKENS:
-                yield from settle(batches, words, out)
-                batches, words, out, held = [], [], [], 0
-        yield from settle(batches, words, out)
+                yield from settle(batches, docs)
+                batches, docs, held = [], [], 0
+        yield from settle(batches, docs)
 
-    kind = base.schema["id"].dataType.simpleString()
-    scored = cut(base.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text").mapInArrow(score, f"row long, id {kind}, held_out boolean, n_tokens long, n_frequent long, base double, score double, rare array<binary>"))
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    scored = numbered.drop("rare").mapInArrow(score, schema.replace("rest", "score"))
+    rare = numbered.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = rare.join(counts.filter(F.col("c") < least), "word", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
     found = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 0.1)).alias("logs"))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    done = scored.drop("rare").join(found, "row", "left")
+    done = scored.join(found, "row", "left")
     return done.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_frequent") + more).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_tokens") * F.lit(base_den)).alias("base_score"), (F.col("score") + logs).alias("score"),

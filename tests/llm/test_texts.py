@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rillflow.llm import near_dup, suffix_dedup
@@ -143,7 +144,7 @@ def test_lm_rare_words_join(small, monkeypatch):
 
     some = small.limit(60)
     want = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm_scores(some).collect()}
-    monkeypatch.setattr(lm, "FREQUENT", 0.01)
+    monkeypatch.setattr(lm, "BROADCAST_WORDS", 50)
     assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm_scores(some).collect()} == want
 
 
@@ -159,10 +160,26 @@ def test_lm_trains_on_every_training_document(small, edge, repeated, monkeypatch
 
     for df in (small, edge, repeated):
         rounds, trained = [], lm._trained
-        monkeypatch.setattr(lm, "_trained", lambda texts, net, ids: (rounds.extend(r.text for r in texts.collect()), net)[1])
+        mine = lambda learn, start, shards, r: (rounds.extend((x.id, len(x.words) // 2) for x in learn.filter(F.pmod(F.pmod(F.xxhash64("id"), F.lit(shards)), F.lit(lm.ROUNDS)) == r).collect()), start)[1]
+        monkeypatch.setattr(lm, "_trained", mine)
         lm_scores(df)
         monkeypatch.setattr(lm, "_trained", trained)
-        assert Counter(rounds) == Counter(r.text for r in df.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10)
+        assert Counter(rounds) == Counter((r.doc_id, len(lm.tokens((r.text or "").encode()))) for r in df.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10)
+
+
+def test_lm_score_does_not_depend_on_the_layout(spark, monkeypatch):
+    """One file or many partitions, rows in any order: the same scores; and better ones than the base's on held-out documents."""
+    from rillflow.llm import lm
+
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 60_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    per_layout = []
+    for df in (docs.coalesce(1), docs.repartition(8), docs.orderBy("text").repartition(64)):
+        per_layout.append({r.doc_id: (r.score, r.base_score, r.held_out, r.n_tokens) for r in lm_scores(df).collect()})
+    for other in per_layout[1:]:
+        assert all(abs(a[0] - per_layout[0][i][0]) <= 1e-6 * abs(a[0]) for i, a in other.items())
+    held = [x for x in per_layout[0].values() if x[2]]
+    assert sum(x[0] - x[1] for x in held) / sum(x[3] for x in held) > 0.06
 
 
 def test_lm_lanes_hold_whole_documents():
@@ -290,6 +307,8 @@ def test_suffix_dedup(request, which):
 def test_suffix_dedup_splits_crowded_names(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCHES", 3)
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 2_000)
+    monkeypatch.setattr(suffix_dedup, "HOT_NAMES", 20)
+    monkeypatch.setattr(suffix_dedup, "NAME_BYTES", 2_000)
     rng = np.random.default_rng(2)
     line = "".join(chr(97 + x) for x in rng.integers(0, 26, 130))
     rows = [(i, "".join(chr(97 + x) for x in rng.integers(0, 26, int(rng.integers(0, 200)))) + line + "".join(chr(97 + x) for x in rng.integers(0, 2, 60))) for i in range(60)]
