@@ -227,13 +227,13 @@ def test_lexicon():
 def test_toxicity_edges(spark, request, which):
     """Every row is scored as its text alone is; clashing names and other columns don't matter; rejected rows go."""
     df = request.getfixturevalue(which)
-    text = "w1"  # a word of the edge texts that labels call toxic
+    text = "w10"  # a word of the edge texts that labels call toxic; learned words have three letters at least
     docs = spark.createDataFrame([(1000 + i, f"{text} w{i}" if i % 4 == 0 else f"plain w{2 + i}") for i in range(120)], "doc_id long, text string")
-    labels = docs.selectExpr("doc_id", "cast(text like 'w1 %' as int) as toxic")
+    labels = docs.selectExpr("doc_id", "cast(text like 'w10 %' as int) as toxic")
     from rillflow.llm.toxicity import learned_lexicon
 
     lexicon = learned_lexicon(docs, labels)
-    assert "w1$" in lexicon
+    assert "w10$" in lexicon
     both = df.select("doc_id", "text").unionByName(docs)
     words = Lexicon(lexicon)
     want = Counter((r.doc_id, r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2, words.score(r.text)) for r in both.collect())
